@@ -31,24 +31,15 @@ def live(listings: DataFrame, policy: str) -> DataFrame:
     raise ValueError(f"unknown policy {policy!r}")
 
 
-def category_match(request: dict[str, Column], listing: dict[str, Column]) -> Column:
-    """Exact category equality for every category the request gives.
-
-    The request value is sanitised first. MALE does not include COED, and a NULL
-    listing value never matches although it displays as the default.
-    """
-    test = F.lit(True)
-    for name, column in CATEGORIES.items():
-        wanted = sanitize(request[name])
-        test = test & (request[name].isNull() | (listing[column] == wanted))
-    return test
-
-
 def category_filter(
     listings: DataFrame, gender: str | None = None, food: str | None = None,
     pg_type: str | None = None,
 ) -> DataFrame:
-    """The same for one request: only the given filters become predicates."""
+    """Exact category equality for the given filters, after sanitising the asked value.
+
+    MALE does not include COED, and a NULL category never matches although it is
+    displayed as a default. Only the given filters become predicates.
+    """
     for value, column in ((gender, "gender_preference"), (food, "food_type"), (pg_type, "pg_type")):
         if value is not None:
             listings = listings.where(F.col(column) == sanitize(F.lit(value)))

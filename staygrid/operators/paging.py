@@ -31,39 +31,57 @@ def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int,
     return df.withColumn(name, place).where(F.col(name) <= n)
 
 
-def page_per_request(matches: DataFrame, name: str = "position") -> DataFrame:
-    """The page of each request by (distance_m, listing_id).
+def has_deep_pages(requests: DataFrame) -> bool:
+    """Whether any request's page ends beyond ``SHALLOW_ROWS``.
+
+    A small job on two columns of the request table, so that the common plan need
+    not carry the banded branch.
+    """
+    end = (F.col("page").cast("bigint") + 1) * F.col("size")
+    return not requests.where(end > SHALLOW_ROWS).isEmpty()
+
+
+def page_per_request(matches: DataFrame, deep: bool = True) -> DataFrame:
+    """The page of each request by (distance_m, listing_id), with ``position`` and the
+    request's ``total`` number of matches.
 
     ``matches`` carries request_id, listing_id, distance_m, radius_m, page, size.
-    Deeper pages than ``SHALLOW_ROWS`` first count matches per distance band, so
-    only the bands the page touches are ranked. Both ways are exact.
+    The literal bound on the rank lets Spark drop all further rows of a request
+    before the shuffle; the total is a combining count. With ``deep``, requests
+    whose page ends beyond ``SHALLOW_ROWS`` are first counted per distance band, so
+    only the bands their page touches are ranked. Both ways are exact.
+    """
+    skip = F.col("page").cast("bigint") * F.col("size")
+    bounded = matches.withColumns({"_skip": skip, "_end": skip + F.col("size")})
+    order = [F.col("distance_m").asc(), F.col("listing_id").asc()]
+    shallow = bounded.where(F.col("_end") <= SHALLOW_ROWS) if deep else bounded
+    best = top_per_group(shallow, ["request_id"], order, SHALLOW_ROWS, "position")
+    best = best.where((F.col("position") > F.col("_skip")) & (F.col("position") <= F.col("_end")))
+    totals = shallow.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    paged = best.join(totals, "request_id").drop("_skip", "_end")
+    return paged.unionByName(_deep_pages(bounded)) if deep else paged
+
+
+def _deep_pages(bounded: DataFrame) -> DataFrame:
+    text = f"""
+      with banded as (
+        select *, case when radius_m > 0
+            then cast(floor(distance_m / radius_m * {BANDS}) as int) else 0 end as _band
+        from {{bounded}} where _end > {SHALLOW_ROWS}),
+      counts as (
+        select request_id, _band, _skip, _end, count(*) as _n from banded
+        group by request_id, _band, _skip, _end),
+      -- at most {BANDS + 1} rows per request
+      touched as (
+        select request_id, _band, _before, cast(_total as int) as total from (
+          select *, sum(_n) over (partition by request_id order by _band) - _n as _before,
+            sum(_n) over (partition by request_id) as _total from counts)
+        where _before < _end and _before + _n > _skip),
+      ranked as (
+        select *, cast(_before + row_number() over (
+            partition by request_id, _band order by distance_m, listing_id) as int) as position
+        from banded join touched using (request_id, _band))
+      select * except (_skip, _end, _band, _before) from ranked
+      where position > _skip and position <= _end
     """
-    first = F.col("page").cast("bigint") * F.col("size")
-    bounded = matches.withColumn("_skip", first).withColumn("_end", first + F.col("size"))
-    order = [F.col("distance_m"), F.col("listing_id")]
-
-    shallow = top_per_group(
-        bounded.where(F.col("_end") <= SHALLOW_ROWS), ["request_id"], order, SHALLOW_ROWS, name
-    )
-
-    deep = bounded.where(F.col("_end") > SHALLOW_ROWS).withColumn(
-        "_band",
-        F.when(F.col("radius_m") > 0, F.floor(F.col("distance_m") / F.col("radius_m") * BANDS))
-        .otherwise(F.lit(0)).cast("int"),
-    )
-    counts = deep.groupBy("request_id", "_band", "_skip", "_end").agg(F.count(F.lit(1)).alias("_n"))
-    # At most BANDS + 1 rows per request.
-    upto = F.sum("_n").over(Window.partitionBy("request_id").orderBy("_band"))
-    touched = (
-        counts.withColumn("_before", upto - F.col("_n"))
-        .where((F.col("_before") < F.col("_end")) & (F.col("_before") + F.col("_n") > F.col("_skip")))
-        .select("request_id", "_band", "_before")
-    )
-    in_band = F.row_number().over(Window.partitionBy("request_id", "_band").orderBy(*order))
-    ranked = (
-        deep.join(touched, ["request_id", "_band"])
-        .withColumn(name, (F.col("_before") + in_band).cast("int"))
-        .drop("_band", "_before")
-    )
-    on_page = (F.col(name) > F.col("_skip")) & (F.col(name) <= F.col("_end"))
-    return shallow.unionByName(ranked).where(on_page).drop("_skip", "_end")
+    return bounded.sparkSession.sql(text, bounded=bounded)

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staygrid.functions.geo import within
+from staygrid.functions.text import sanitize
 from staygrid.operators.enrich import cover_photo, min_rent, rent_levels, with_favorite_flag
 from staygrid.operators.filters import (
+    CATEGORIES,
     category_filter,
-    category_match,
     clamp_size,
     display_defaults,
     live,
     rating_display,
     rent_filter,
 )
-from staygrid.operators.paging import page, page_per_request
+from staygrid.operators.paging import has_deep_pages, page, page_per_request
 from staygrid.operators.quality import accepted, validate_requests
-from staygrid.operators.spatial import bounding_box, in_box, radius_join
+from staygrid.operators.spatial import in_box, radius_join
 
 CARD = [
     "title", "locality", "address_line", "lat", "lng", "gender_preference", "pg_type",
@@ -46,36 +47,37 @@ def search_matches(
     """
     ask = requests.select(
         "request_id", "user_id", F.col("lat").alias("req_lat"), F.col("lng").alias("req_lng"),
-        (F.col("radius_km") * 1000).alias("radius_m"),
+        (F.col("radius_km") * 1000).alias("radius_m"), "page", "size",
         F.col("min_rent").alias("_ask_lo"), F.col("max_rent").alias("_ask_hi"),
-        F.col("gender").alias("_ask_gender"), F.col("food").alias("_ask_food"),
-        F.col("pg_type").alias("_ask_pg_type"), "page", "size",
+        *[sanitize(asked).alias(f"_ask_{asked}") for asked in CATEGORIES],
+    )
+    offer = live(listings, "active").select(
+        F.col("id").alias("listing_id"), "lat", "lng",
+        *[F.col(stored).alias(f"_{stored}") for stored in CATEGORIES.values()],
     )
     rents = rent_levels(rooms).withColumnsRenamed(
         {"rent_lo": "_rent_lo", "rent_hi": "_rent_hi", "rents": "_rents"}
     )
-    offer = live(listings, "active").select(
-        F.col("id").alias("listing_id"), "lat", "lng",
-        F.col("gender_preference").alias("_gender_preference"),
-        F.col("food_type").alias("_food_type"), F.col("pg_type").alias("_pg_type"),
-    ).join(rents, "listing_id", "left")
-
-    asked = {name: F.col(f"_ask_{name}") for name in ("gender", "food", "pg_type")}
-    offered = {name: F.col(f"_{name}") for name in ("gender_preference", "food_type", "pg_type")}
+    category = " and ".join(
+        f"(_ask_{asked} is null or _{stored} = _ask_{asked})" for asked, stored in CATEGORIES.items()
+    )
     pairs = radius_join(
-        ask, offer, category_match(asked, offered) & _rent_match(), metric
+        ask, offer, f"{category} and {RENT_REACHABLE}", rents, RENT_SAME_ROOM,
+        ("_ask_lo", "_ask_hi", "_rents"), metric,
     )
     return pairs.select(
         "request_id", "user_id", "listing_id", "radius_m", "page", "size", "distance_m"
     )
 
 
-def _rent_match() -> Column:
-    """One and the same room satisfies both bounds."""
-    lo, hi = F.col("_ask_lo"), F.col("_ask_hi")
-    reachable = (lo.isNull() | (F.col("_rent_hi") >= lo)) & (hi.isNull() | (F.col("_rent_lo") <= hi))
-    both = F.exists(F.col("_rents"), lambda rent: (rent >= lo) & (rent <= hi))
-    return reachable & (lo.isNull() | hi.isNull() | both)
+# One and the same room satisfies both bounds. Ranges settle a request with one
+# bound; with two, some single rent must lie between them.
+RENT_REACHABLE = (
+    "(_ask_lo is null or _rent_hi >= _ask_lo) and (_ask_hi is null or _rent_lo <= _ask_hi)"
+)
+RENT_SAME_ROOM = (
+    "_ask_lo is null or _ask_hi is null or exists(_rents, r -> r >= _ask_lo and r <= _ask_hi)"
+)
 
 
 def search_totals(requests: DataFrame, matches: DataFrame) -> DataFrame:
@@ -102,10 +104,8 @@ def geo_search(
     """
     valid = accepted(validate_requests(requests))
     matches = search_matches(valid, listings, rooms, metric)
-    rows = page_per_request(matches).drop("radius_m", "size")
-    cards = listing_cards(listings, rooms, photos)
-    totals = matches.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
-    found = rows.join(totals, "request_id").join(cards, "listing_id")
+    rows = page_per_request(matches, has_deep_pages(valid))
+    found = rows.join(listing_cards(listings, rooms, photos), "listing_id")
     return with_favorite_flag(found, favorites).select(
         "request_id", "position", "page", "total", "listing_id", *CARD, "min_rent",
         "cover_photo", "distance_m", "is_favorite",
@@ -164,8 +164,8 @@ def point_matches(
     """All listings one request matches, with ``distance_m``."""
     if not (8 <= lat <= 37 and 68 <= lng <= 98):
         raise ValueError("query point outside the supported area")
-    box = bounding_box(F.lit(float(lat)), F.lit(float(lng)), F.lit(radius_km * 1000.0))
-    near = category_filter(live(listings, "active").where(in_box(box)), gender, food, pg_type)
+    circle = in_box(float(lat), float(lng), radius_km * 1000.0)
+    near = category_filter(live(listings, "active").where(circle), gender, food, pg_type)
     near = rent_filter(near, rooms, low, high).withColumns(
         {
             "_lat": F.lit(float(lat)), "_lng": F.lit(float(lng)),
