@@ -22,7 +22,8 @@ from staygrid.operators.quality import (
 from staygrid.operators.skew import split_join
 from staygrid.session import stored
 
-AT = F.struct("ts", "event_id")
+def event_time() -> Column:
+    return F.struct("ts", "event_id")
 
 
 def after_last_reset(events: DataFrame, keys: list[str], resets: Column) -> DataFrame:
@@ -30,10 +31,10 @@ def after_last_reset(events: DataFrame, keys: list[str], resets: Column) -> Data
     cuts = (
         events.where(resets)
         .groupBy(*keys)
-        .agg(F.max(AT).alias("_cut"))
+        .agg(F.max(event_time()).alias("_cut"))
     )
     kept = split_join(events.where(~resets), cuts, keys, "left", "event_id")
-    return kept.where(F.col("_cut").isNull() | (AT > F.col("_cut"))).drop("_cut")
+    return kept.where(F.col("_cut").isNull() | (event_time() > F.col("_cut"))).drop("_cut")
 
 
 def fold_favorites(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def fold_favorites(events: DataFrame, prior: DataFrame | None = None) -> DataFra
             )
         )
     adds = after_last_reset(log, keys, F.col("op") == "remove")
-    return adds.groupBy(*keys).agg(F.min_by("ts", AT).alias("created_at"))
+    return adds.groupBy(*keys).agg(F.min_by("ts", event_time()).alias("created_at"))
 
 
 KEPT_REVIEW_FIELDS = ["id", "stayed_from", "stayed_until", "is_flagged"]
@@ -83,8 +84,8 @@ def fold_reviews(events: DataFrame, prior: DataFrame | None = None) -> DataFrame
         )
     upserts = after_last_reset(log, keys, F.col("op") == "delete")
     folded = upserts.groupBy(*keys).agg(
-        F.min_by(F.struct(*KEPT_REVIEW_FIELDS), AT).alias("_kept"),
-        F.max_by(F.struct("rating", "comment", F.col("ts").alias("created_at")), AT).alias("_last"),
+        F.min_by(F.struct(*KEPT_REVIEW_FIELDS), event_time()).alias("_kept"),
+        F.max_by(F.struct("rating", "comment", F.col("ts").alias("created_at")), event_time()).alias("_last"),
     )
     return folded.select("_kept.id", *keys, "_last.rating", "_last.comment",
                          "_kept.stayed_from", "_kept.stayed_until", "_kept.is_flagged",
@@ -347,7 +348,7 @@ def apply_availability(events: DataFrame, rooms: DataFrame, listings: DataFrame)
     latest of each such combination before they meet rooms and listings.
     """
     what = ["actor_id", "listing_id", "room_id", "available_beds"]
-    latest = events.groupBy(*what).agg(F.max(AT).alias("_at"))
+    latest = events.groupBy(*what).agg(F.max(event_time()).alias("_at"))
     valid = accepted(validate_availability(latest, rooms, listings))
     final = valid.groupBy(F.col("room_id").alias("id")).agg(
         F.max_by("available_beds", "_at").alias("_beds")
@@ -406,7 +407,7 @@ def apply_cover_changes(events: DataFrame, photos: DataFrame) -> DataFrame:
     combining maximum to at most one per photo before they are brought together,
     and a listing's arrays are no longer than its photos (six by the upload rule).
     """
-    last = events.groupBy("listing_id", "photo_id").agg(F.max(AT).alias("_at"))
+    last = events.groupBy("listing_id", "photo_id").agg(F.max(event_time()).alias("_at"))
     last = last.join(
         photos.select("listing_id", F.col("id").alias("photo_id")), ["listing_id", "photo_id"], "left_semi"
     )

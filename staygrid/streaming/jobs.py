@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from staygrid.operators.enrich import listing_ratings
 from staygrid.operators.folds import (
-    AT,
+    event_time,
     after_last_reset,
     fold_favorites,
     fold_reviews,
@@ -77,7 +77,7 @@ def _last_reset_and_later(events: DataFrame, reset: str) -> DataFrame:
     keys = ["user_id", "listing_id"]
     resets = events.where(F.col("op") == reset)
     everything = F.struct(*events.columns)
-    last = resets.groupBy(*keys).agg(F.max_by(everything, AT).alias("_e")).select("_e.*")
+    last = resets.groupBy(*keys).agg(F.max_by(everything, event_time()).alias("_e")).select("_e.*")
     later = after_last_reset(events, keys, F.col("op") == reset)
     return last.unionByName(later)
 
@@ -96,7 +96,7 @@ def retain_users(events: DataFrame) -> DataFrame:
     return (
         events.withColumn("_phone", F.coalesce("phone", F.lit("")))
         .groupBy("firebase_uid", "_phone")
-        .agg(F.min_by(everything, AT).alias("_e"))
+        .agg(F.min_by(everything, event_time()).alias("_e"))
         .select("_e.*")
     )
 
