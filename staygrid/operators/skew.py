@@ -11,14 +11,27 @@ from staygrid.session import stored
 ROWS_PER_SPLIT = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """Keys with more than ``rows_per_split`` rows and the number of splits each gets.
+# Key counts are estimated from one row in n, chosen by hash, with about this many
+# counted rows for a key at the limit.
+COUNTED_ROWS = 4096
 
-    Counting combines map-side. At most rows / rows_per_split keys can qualify,
-    which is what makes the result safe to broadcast.
+
+def hot_keys(
+    df: DataFrame, keys: list[str], spread_by: str, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """Keys with about ``rows_per_split`` rows or more and the number of splits each gets.
+
+    This only decides over how many tasks a key is spread; every row is still
+    joined. So an estimate will do, and counting every nearly unique key exactly
+    would shuffle as much as the join itself. The rows counted depend on the value
+    of ``spread_by`` alone, hence both sides of a join see the same list. At most
+    about rows / rows_per_split keys qualify, which keeps the list small enough to
+    broadcast.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.where(F.col("_rows") > rows_per_split).select(
+    one_in = max(1, rows_per_split // COUNTED_ROWS)
+    counted = df.where(F.pmod(F.xxhash64(F.lit("count"), spread_by), F.lit(one_in)) == 0)
+    sizes = counted.groupBy(*keys).agg((F.count(F.lit(1)) * one_in).alias("_rows"))
+    return sizes.where(F.col("_rows") > rows_per_split).select(
         *keys, F.ceil(F.col("_rows") / rows_per_split).cast("int").alias("_splits")
     )
 
@@ -36,7 +49,7 @@ def split_join(
     Rows of a hot key are spread over splits by ``spread_by``; the single matching
     row of ``one`` is repeated once per split. Other keys join as usual.
     """
-    hot = hot_keys(many, keys, rows_per_split)
+    hot = hot_keys(many, keys, spread_by, rows_per_split)
     spread = many.join(F.broadcast(hot), keys, "left").withColumn(
         "_split", F.pmod(F.xxhash64(spread_by), F.coalesce("_splits", F.lit(1))).cast("int")
     ).drop("_splits")

@@ -22,6 +22,7 @@ def test_top_n_is_pruned_before_the_shuffle(spark):
 
 
 def test_point_search_pushes_the_box_down(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     f = Fixtures(spark, SF_DIR)
     f.listings.write.parquet(str(tmp_path / "listings"))
     stored = spark.read.parquet(str(tmp_path / "listings"))
