@@ -111,7 +111,7 @@ def geodesic_distance(f):
     pairs = f.requests.select(
         F.col("request_id").alias("id"), F.col("lat").alias("req_lat"), F.col("lng").alias("req_lng")
     ).join(f.listings.select("id", "lat", "lng"), "id")
-    return with_geodesic_m(pairs, "req_lat", "req_lng", "lat", "lng", passes=6).select("id", "distance_m")
+    return with_geodesic_m(pairs, "req_lat", "req_lng", "lat", "lng").select("id", "distance_m")
 
 
 @query

@@ -132,6 +132,21 @@ def test_distances(spark):
     assert all(abs(r["distance_m"] - r["s"]) <= 0.0057 * r["s"] + 1e-9 for r in got)
 
 
+def test_few_passes_are_enough(spark):
+    pairs = spark.range(3000).select(
+        (8 + F.col("id") * 37 % 2900 / 100).alias("a"), (68 + F.col("id") * 53 % 3000 / 100).alias("b"),
+        (8 + F.col("id") * 91 % 2900 / 100).alias("c"), (68 + F.col("id") * 17 % 3000 / 100).alias("d"),
+    )
+    quick = with_geodesic_m(pairs, "a", "b", "c", "d", "quick")
+    both = with_geodesic_m(quick, "a", "b", "c", "d", "slow", passes=8)
+    assert both.agg(F.max(F.abs(F.col("quick") - F.col("slow")))).first()[0] < 1e-5
+
+
+def test_missing_coordinates_have_no_distance(spark):
+    pairs = spark.createDataFrame([(None, 77.0, 12.0, 77.0), (12.0, 77.0, 12.0, None)], "a double, b double, c double, d double")
+    assert [r[0] for r in with_geodesic_m(pairs, "a", "b", "c", "d").select("distance_m").collect()] == [None, None]
+
+
 def test_point_argument_order(spark):
     row = with_point(spark.createDataFrame([(77.6, 12.9)], "longitude double, latitude double")).first()
     assert (row["lat"], row["lng"]) == (12.9, 77.6)
