@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from staygrid.operators.skew import with_group_number
+
 # Pages that end within this many rows are ranked with a literal bound, which
 # lets Spark drop all other rows of a request before the shuffle.
 SHALLOW_ROWS = 1000
@@ -73,15 +75,16 @@ def _deep_pages(bounded: DataFrame) -> DataFrame:
         group by request_id, _band, _skip, _end),
       -- at most {BANDS + 1} rows per request
       touched as (
-        select request_id, _band, _before, cast(_total as int) as total from (
-          select *, sum(_n) over (partition by request_id order by _band) - _n as _before,
+        select request_id, _band, _ahead, cast(_total as int) as total from (
+          select *, sum(_n) over (partition by request_id order by _band) - _n as _ahead,
             sum(_n) over (partition by request_id) as _total from counts)
-        where _before < _end and _before + _n > _skip),
-      ranked as (
-        select *, cast(_before + row_number() over (
-            partition by request_id, _band order by distance_m, listing_id) as int) as position
-        from banded join touched using (request_id, _band))
-      select * except (_skip, _end, _band, _before) from ranked
-      where position > _skip and position <= _end
+        where _ahead < _end and _ahead + _n > _skip)
+      select * from banded join touched using (request_id, _band)
     """
-    return bounded.sparkSession.sql(text, bounded=bounded)
+    kept = bounded.sparkSession.sql(text, bounded=bounded)
+    # Very many matches at one distance share a band, so the band is numbered by a
+    # distributed sort and not by a window in one task.
+    ranked = with_group_number(kept, ["request_id", "_band"], ["distance_m", "listing_id"], "_rank")
+    placed = ranked.withColumn("position", (F.col("_ahead") + F.col("_rank")).cast("int"))
+    on_page = (F.col("position") > F.col("_skip")) & (F.col("position") <= F.col("_end"))
+    return placed.where(on_page).drop("_skip", "_end", "_band", "_ahead", "_rank")

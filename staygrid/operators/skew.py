@@ -94,7 +94,7 @@ def with_group_number(df: DataFrame, groups: list[str], order: list, name: str)
     numbered = with_row_number(df, [*groups, *order], "_number")
     first = numbered.groupBy(*groups).agg(F.min("_number").alias("_first"))
     return (
-        numbered.join(first, groups)
+        split_join(numbered, first, groups, "inner", "_number")
         .withColumn(name, F.col("_number") - F.col("_first") + 1)
         .drop("_number", "_first")
     )
