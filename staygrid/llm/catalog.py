@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staygrid.llm import lengths, packing, repetition, simhash, toxicity
+from staygrid.llm import (
+    html_crf, lengths, licenses, ordermin, packing, pieces, repetition, simhash, toxicity, urls,
+)
 from staygrid.llm.frames import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.with_suffix_sums(lengths.length_histogram(read_table(spark, sf_dir, "documents")))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.size("blocks").cast("long").alias("n_blocks"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = repetition.quality_rules(read_table(spark, sf_dir, "documents"))
     return measured.select(
@@ -37,17 +47,41 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.train(urls.by_unwanted_words(pages)))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    found = html_crf.extract(pages, html_crf.train(pages))
+    return found.select("page_id", "url", "text", "n_chars", "n_blocks", "n_main")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a sampled segmentation, and the length and hash of what they decode to."""
+    decoded = pieces.decode(pieces.encode(read_table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"),
+        F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.compared(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_packing": op1_packing,
-    "op2_token_counts": op2_token_counts,
-    "op4_quality_rules": op4_quality_rules,
-    "op5_simhash": op5_simhash,
-    "op10_toxicity": op10_toxicity,
+    query.__name__: query
+    for query in (
+        op1_packing, op2_token_counts, op3_license_scans, op4_quality_rules, op5_simhash,
+        op6_url_filters, op7_html_extraction, op8_sentencepiece, op9_fingerprints, op10_toxicity,
+    )
 }
 
 # None of these can be put as SQL; tests/llm holds each against a brute-force version.
