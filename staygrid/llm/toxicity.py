@@ -24,7 +24,7 @@ BUCKETS = 1 << 18
 SMOOTHING = 1.0
 # The model is fitted on at most this many labelled texts of each class: those whose
 # doc_id has the smallest hash.
-TEXTS_PER_CLASS = 3000
+TEXTS_PER_CLASS = 2500
 # An n-gram counts if at least this many of them have it.
 LEAST_TEXTS = 4
 # and its log-count ratio is at least this far from 0; the rest would be scaled away.
@@ -76,23 +76,28 @@ def grams_of(text: str) -> np.ndarray:
     return np.unique(np.concatenate(found)).astype(np.int32)
 
 
-def log_count_ratios(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+class Sets(NamedTuple):
+    """Bucket sets back to back: those of text k are ``buckets[bounds[k]:bounds[k + 1]]``."""
+
+    buckets: np.ndarray
+    bounds: np.ndarray
+
+
+def log_count_ratios(sets: Sets, toxic: np.ndarray) -> np.ndarray:
     """Per bucket: log of its smoothed share in toxic texts over that in the others.
 
     Buckets in few texts or with a ratio near 0 get 0 and so play no part.
     """
-    counts = [
-        np.bincount(np.concatenate([s for s, y in zip(sets, toxic, strict=True) if y == c] or [[]]).astype(np.int64),
-                    minlength=BUCKETS)
-        for c in (1, 0)
-    ]
-    p, q = (c + SMOOTHING for c in counts)
+    owner = np.repeat(toxic.astype(bool), np.diff(sets.bounds))
+    bad = np.bincount(sets.buckets[owner], minlength=BUCKETS)
+    good = np.bincount(sets.buckets[~owner], minlength=BUCKETS)
+    p, q = bad + SMOOTHING, good + SMOOTHING
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio[(counts[0] + counts[1] < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
+    ratio[(bad + good < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
     return ratio
 
 
-def fit(sets: list[np.ndarray], toxic: Sequence[int]) -> Model:
+def fit(sets: Sets, toxic: Sequence[int]) -> Model:
     """Ridge logistic regression on the scaled sets, by accelerated gradient steps.
 
     Both classes weigh the same in the loss. Without texts of both classes the model
@@ -103,21 +108,18 @@ def fit(sets: list[np.ndarray], toxic: Sequence[int]) -> Model:
         share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.5
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     ratio = log_count_ratios(sets, y)
-    used = np.flatnonzero(ratio)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    column = place[np.concatenate(sets)]
-    row, column = row[column >= 0], column[column >= 0]
-    value = ratio[used][column]
+    counts = ratio[sets.buckets] != 0
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(sets.bounds))[counts]
+    used, column = np.unique(sets.buckets[counts], return_inverse=True)
+    scale = ratio[used]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
 
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
-        z = np.bincount(row, value * w[column], minlength=len(sets)) + b
+        z = np.bincount(row, (w * scale)[column], minlength=len(y)) + b
         error = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        grad = np.bincount(column, value * error[row], minlength=len(used)) + RIDGE * w
+        grad = np.bincount(column, error[row], minlength=len(used)) * scale + RIDGE * w
         grad_b = error.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b**2
@@ -125,7 +127,7 @@ def fit(sets: list[np.ndarray], toxic: Sequence[int]) -> Model:
         w -= rate * m / (np.sqrt(v) + 1e-8)
         b -= rate * mb / (np.sqrt(vb) + 1e-8)
     weights = np.zeros(BUCKETS)
-    weights[used] = w * ratio[used]
+    weights[used] = w * scale
     return Model(weights, float(b))
 
 
@@ -164,8 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER_CLASS)
     texts = id_and_text(docs).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
     one_each = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     table = map_batches(one_each, sets, "doc_id long, toxic int, grams array<int>").toArrow().sort_by("doc_id")
-    found = [np.asarray(g, np.int64) for g in table["grams"].to_pylist()]
-    return fit(found, table["toxic"].to_pylist())
+    grams = table["grams"].combine_chunks()
+    sizes = grams.value_lengths().to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return fit(Sets(grams.flatten().to_numpy(), bounds), table["toxic"].to_pylist())
 
 
 def toxicity(text: Column, model: Model) -> Column:
