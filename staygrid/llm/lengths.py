@@ -83,7 +83,7 @@ def truncated_totals(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
     The first length at or above a limit tells how many documents reach it; ids below
     it are the total less those at least as long.
     """
-    asked = sums.select(F.explode(F.array(*map(F.lit, limits))).cast("long").alias("context_limit"), "*")
+    asked = sums.select(F.explode(F.array(*[F.lit(x).cast("long") for x in limits])).alias("context_limit"), "*")
     longer = F.col("n_tokens") > F.col("context_limit")
     return asked.groupBy("context_limit").agg(
         (
@@ -97,7 +97,7 @@ def truncated_totals(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
 
 def length_quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
     """(share, n_tokens): the least length that at least this share of documents keep to."""
-    asked = sums.select(F.explode(F.array(*map(F.lit, shares))).cast("double").alias("share"), "*")
+    asked = sums.select(F.explode(F.array(*[F.lit(x).cast("double") for x in shares])).alias("share"), "*")
     return (
         asked.where(F.col("docs_at_most") >= F.col("share") * F.col("total_docs"))
         .groupBy("share")

@@ -139,7 +139,7 @@ def in_neighbour_order(docs: DataFrame, parts: int) -> DataFrame:
     rows = id_and_text(docs).withColumn("turn", F.xxhash64("text"))
     ids = rows.select("doc_id").where(F.col("doc_id").isNotNull())
     cuts = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     # Part 0 has the largest ids, the last part the null ids.
     bucketed = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep").transform(
         rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))))

@@ -234,13 +234,14 @@ def search(keyed: DataFrame, most_members: int | None) -> DataFrame:
     return map_batches(keyed.select("mask", "pattern", "fp"), searched, "fp long, root long, mask long")
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, most_members: int = NODE_MEMBERS) -> DataFrame:
     """(fp, root): a forest over distinct fingerprints whose trees span all links.
 
-    ``nodes`` has one row per distinct ``fp``. Links found in several nodes may repeat.
+    ``nodes`` has one row per distinct ``fp``. Links found in several nodes may repeat. A
+    node above ``most_members`` is divided; the links found are the same for any number.
     """
     coarse = F.explode(F.array(*[F.lit(signed(m)) for m in COARSE]))
-    found = stored(search(dealt(nodes, coarse), NODE_MEMBERS), "simhash-links")
+    found = stored(search(dealt(nodes, coarse), most_members), "simhash-links")
     large = found.where(F.col("root").isNull()).select("fp", F.col("mask").alias("coarse"))
     finer = F.create_map(
         *[x for c, fine in zip(COARSE, FINE, strict=True)
@@ -323,7 +324,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     nodes = stored(nodes, "simhash-nodes")
     joined = nodes.join(components(links(nodes.select("fp"))), "fp", "left")
     stay = joined.groupBy(F.coalesce("root", "fp").alias("_root")).agg(F.min("first").alias("_first"))
-    numbered = docs.withColumn("_row_number", F.monotonically_increasing_id())
-    return numbered.join(
-        stay.select(F.col("_first.row_id").alias("_row_number")), "_row_number", "left_semi"
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "_row_number"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    kept = numbered.join(stay.select(F.col("_first.row_id").alias(name)), name, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
