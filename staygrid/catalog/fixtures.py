@@ -11,9 +11,22 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staygrid.session import tune
+from staygrid.session import tune, work_path
 from staygrid.sources.tables import amenities as amenity_table
-from staygrid.sources.tables import conform
+from staygrid.sources.tables import conform, read_events
+
+
+
+def owner_of(listing: str) -> str:
+    """The owner of a listing: one owner has every third, the others share the rest."""
+    return f"(-1 - case when {listing} % 3 = 0 then 0 else {listing} % (select count(*) from supplier) end)"
+
+
+# Every user turns to six listings, spread over all of them, and one listing in
+# between gets a quarter of all events.
+HOT_LISTING = 7
+TOUCHED_LISTING = f"""case when event_id % 4 = 0 then {HOT_LISTING}
+  else (user_id * 31 + (k % 6) * 7) % (select count(*) from part) end"""
 
 VIEWS: dict[str, str] = {
     "users_v": """
@@ -28,10 +41,10 @@ from customer
 union all
 select -1 - s_suppkey, concat('own-', cast(s_suppkey as string)), concat('+92', cast(s_suppkey as string)),
   s_name, 'OWNER', null, cast(null as date), s_suppkey % 2 = 0
-from supplier where s_suppkey < 10
+from supplier
 """,
-    "listings_v": """
-select p_partkey as id, -1 - p_partkey % 10 as owner_id, p_name as title, p_brand as locality,
+    "listings_v": f"""
+select p_partkey as id, {owner_of("p_partkey")} as owner_id, p_name as title, p_brand as locality,
   concat(p_type, ' ', p_brand) as address_line,
   case when p_partkey % 4 = 0 then concat('+93', cast(p_partkey as string)) end as contact_phone,
   12.8 + cast((p_partkey * 37) % 400 as double) / 1000 as lat,
@@ -46,19 +59,20 @@ select p_partkey as id, -1 - p_partkey % 10 as owner_id, p_name as title, p_bran
 from part
 """,
     "rooms_v": """
-select l_partkey * 10 + l_linenumber as id, l_partkey as listing_id,
+select p * 10 + l_linenumber as id, p as listing_id,
   case l_linenumber % 5 when 0 then 'SINGLE' when 1 then 'DOUBLE' when 2 then 'TRIPLE' when 3 then 'QUAD' end as sharing_type,
   5000 + cast(floor(min(l_extendedprice)) as int) % 15000 as monthly_rent,
   1 + cast(floor(max(l_quantity)) as int) % 4 as total_beds,
   least(cast(floor(min(l_quantity)) as int) % 4, 1 + cast(floor(max(l_quantity)) as int) % 4) as available_beds,
   case when l_linenumber = 6 then null else 30 end as notice_period_days
-from lineitem where l_partkey % 11 <> 0 group by l_partkey, l_linenumber
+from (select *, case when l_partkey % 11 = 0 and l_partkey > 0 then l_partkey - 1 else l_partkey end as p from lineitem) x
+group by p, l_linenumber
 """,
     "photos_v": """
-select distinct l_partkey * 10 + l_linenumber as id, l_partkey as listing_id,
-  concat('https://cdn.example/', cast(l_partkey * 10 + l_linenumber as string), '.jpg') as url,
-  case when l_linenumber = 5 then null else cast((l_linenumber * 4 + l_partkey) % 6 as int) end as display_order
-from lineitem where l_linenumber <= 6 and l_partkey % 7 <> 0
+select distinct p * 10 + l_linenumber as id, p as listing_id,
+  concat('https://cdn.example/', cast(p * 10 + l_linenumber as string), '.jpg') as url,
+  case when l_linenumber = 5 then null else cast((l_linenumber * 4 + p) % 6 as int) end as display_order
+from (select *, case when l_partkey % 7 = 0 and l_partkey > 0 then l_partkey - 1 else l_partkey end as p from lineitem) x
 """,
     "amenities_v": """
 select * from (values (1,'WiFi','wifi'),(2,'AC','ac_unit'),(3,'Laundry','local_laundry_service'),
@@ -70,8 +84,8 @@ select * from (values (1,'WiFi','wifi'),(2,'AC','ac_unit'),(3,'Laundry','local_l
 select p_partkey as listing_id, a.id as amenity_id from part cross join amenities_v a
 where (p_partkey + a.id * a.id) % 4 = 0
 """,
-    "interactions_v": """
-select event_id, ts, user_id, event_type, k, (k * 7 + user_id) % 40 as listing_id
+    "interactions_v": f"""
+select event_id, ts, user_id, event_type, k, {TOUCHED_LISTING} as listing_id
 from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events) e
 """,
     "favorites_v": """
@@ -98,7 +112,7 @@ from interactions_v where event_type in ('click', 'error')
 select event_id, ts, user_id, listing_id, case event_type when 'purchase' then 'upsert' else 'delete' end as op,
   case event_type when 'purchase' then cast(1 + k % 5 as int) end as rating,
   case event_type when 'purchase' then concat('stay ', cast(k as string)) end as comment
-from interactions_v where event_type = 'purchase' or (event_type = 'signup' and k < 20)
+from interactions_v where event_type in ('purchase', 'signup')
 """,
     "inquiry_events_v": """
 select event_id, ts, user_id as tenant_id, listing_id from interactions_v where event_type = 'view'
@@ -110,8 +124,8 @@ select event_id, ts, concat('uid-', cast(user_id as string)) as firebase_uid,
   case when event_type = 'signup' and k % 3 = 0 then concat('+94', cast(user_id * 100 + k as string)) end as phone
 from interactions_v where event_type in ('signup', 'click')
 """,
-    "availability_events_v": """
-select event_id, ts, -1 - (listing_id + case when k % 9 = 0 then 1 else 0 end) % 10 as actor_id,
+    "availability_events_v": f"""
+select event_id, ts, {owner_of("listing_id")} - case when k % 9 = 0 then 1 else 0 end as actor_id,
   listing_id, listing_id * 10 + 1 + k % 7 as room_id,
   cast(k % 7 as int) - 1 as available_beds
 from interactions_v where event_type = 'error'
@@ -124,17 +138,17 @@ from interactions_v where event_type = 'signup'
 select c_custkey as request_id, c_custkey as user_id,
   case when c_custkey % 50 = 0 then 51.5 else 12.8 + cast((c_custkey * 91) % 400 as double) / 1000 end as lat,
   77.5 + cast((c_custkey * 17) % 397 as double) / 1000 as lng,
-  cast(1 + c_custkey % 5 as double) as radius_km,
+  case when c_custkey % 75 = 0 then 60.0 else cast(1 + c_custkey % 5 as double) end as radius_km,
   case when c_custkey % 3 = 0 then 6000 end as min_rent, case when c_custkey % 2 = 0 then 12000 end as max_rent,
   case c_custkey % 6 when 0 then 'male' when 1 then 'FEMALE' when 2 then 'co-ed' else null end as gender,
   case c_custkey % 9 when 0 then 'veg' when 1 then 'non-veg' when 2 then '' else null end as food,
   case c_custkey % 8 when 0 then 'Coliving' else null end as pg_type,
-  cast(c_custkey % 3 as int) as page,
-  case c_custkey % 10 when 0 then 0 when 1 then 100 else 5 end as size
+  case when c_custkey % 75 = 0 then 28 else cast(c_custkey % 3 as int) end as page,
+  case when c_custkey % 75 = 0 then 50 else case c_custkey % 10 when 0 then 0 when 1 then 100 else 5 end end as size
 from customer
 """,
-    "listing_drafts_v": """
-select p_partkey as draft_id, -1 - p_partkey % 10 as owner_id,
+    "listing_drafts_v": f"""
+select p_partkey as draft_id, {owner_of("p_partkey")} as owner_id,
   case when p_partkey % 17 = 0 then '  ' else p_name end as title,
   case when p_partkey % 19 = 0 then '' else concat(p_type, ' road') end as address_line, p_brand as locality,
   case when p_partkey % 23 = 0 then 'ANY' when p_partkey % 2 = 0 then 'MALE' else 'COED' end as gender_preference,
@@ -145,10 +159,10 @@ from part
 """,
     "draft_rooms_v": """
 select id, listing_id as draft_id, row_number() over (partition by listing_id order by id) - 1 as pos,
-  coalesce(sharing_type, 'PENTA') as sharing_type,
+  coalesce(sharing_type, case when id % 3 = 0 then 'PENTA' else 'SINGLE' end) as sharing_type,
   case when id % 41 = 0 then 0 else monthly_rent end as monthly_rent, total_beds,
   case when id % 43 = 0 then total_beds + 1 else available_beds end as available_beds
-from rooms_v where sharing_type is not null or id % 3 = 0
+from rooms_v
 """,
     "photo_meta_v": """
 select l_partkey as listing_id, l_orderkey * 10 + l_linenumber as upload_key, min(l_shipdate) as uploaded_at,
@@ -301,21 +315,21 @@ class Fixtures:
         return self.view("search_requests_v")
 
     def event_stream(self) -> DataFrame:
-        """The raw event table as a stream."""
-        return (
-            self.spark.readStream.schema(
-                "event_id long, ts timestamp_ntz, user_id long, event_type string, props string"
-            )
-            .option("pathGlobFilter", "events.parquet")
-            .parquet(self.sf_dir)
-            .withColumn("ts", F.col("ts").cast("timestamp"))
-        )
+        """The event table as a stream of four micro-batches that each span all of its
+        time, so that most events of the later ones are late."""
+        path = work_path(self.spark, "events")
+        columns = ["event_id", "ts", "user_id", "event_type", "props"]
+        events = self.sql("select * from events").select(*columns)
+        events.repartitionByRange(4, F.col("event_id") % 4).write.parquet(path)
+        return read_events(self.spark, path, events.schema, maxFilesPerTrigger=1)
 
 
-def interactions(events: DataFrame) -> DataFrame:
+def interactions(events: DataFrame, listings: int) -> DataFrame:
     """The view ``interactions_v`` as a transformation, for streams."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    touched = F.when(F.col("event_id") % 4 == 0, HOT_LISTING).otherwise(
+        (F.col("user_id") * 31 + (F.col("k") % 6) * 7) % listings
+    )
     return events.withColumn("k", k).select(
-        "event_id", "ts", "user_id", "event_type", "k",
-        ((F.col("k") * 7 + F.col("user_id")) % 40).alias("listing_id"),
+        "event_id", "ts", "user_id", "event_type", "k", touched.cast("bigint").alias("listing_id")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staygrid.catalog.fixtures import owner_of
+
 POINT_FILTERS = {
     "lat": 12.97, "lng": 77.64, "radius_km": 6.0, "low": 6000, "high": 16000, "gender": "female",
 }
@@ -23,7 +25,8 @@ RAW_REQUESTS = """
 select request_id,
   case when request_id % 7 = 0 then 'north' else cast(lat as string) end as lat,
   case when request_id % 11 = 0 then concat(' ', cast(lng as string)) else cast(lng as string) end as lng,
-  case when request_id % 5 = 0 then null when request_id % 13 = 0 then '2,5' else '2.5' end as radius_km,
+  case when request_id % 5 = 0 then null when request_id % 13 = 0 then '2,5' when request_id % 17 = 0 then '2.5f'
+    when request_id % 23 = 0 then '-1e2D ' else '2.5' end as radius_km,
   case when request_id % 3 = 0 then '+6000' when request_id % 4 = 0 then '6000.5' end as min_rent,
   case when request_id % 2 = 0 then '12000' when request_id % 17 = 0 then '' end as max_rent,
   case request_id % 4 when 0 then ' 1' when 1 then '1' when 2 then 'one' end as page,
@@ -42,21 +45,21 @@ from search_requests_v
 
 PROFILE_UIDS = """
 select distinct concat('uid-', cast(user_id as string)) as firebase_uid
-from interactions_v where event_type = 'signup' and k % 2 = 0
+from interactions_v where event_type = 'signup'
 """
 
 ONE_COVER_EVENT = """
 select listing_id, max(listing_id * 10 + 1 + id % 6) as photo_id from photos_v group by listing_id
 """
 
-GATE_EVENTS = """
+GATE_EVENTS = f"""
 select event_id,
   case event_type when 'click' then case when k % 2 = 0 then 'favorite_add' else 'favorite_remove' end
     when 'view' then 'inquiry' when 'purchase' then case when k % 2 = 0 then 'review' else 'review_delete' end
     when 'signup' then case k % 4 when 0 then 'edit' when 1 then 'soft_delete' when 2 then 'photo_upload' else 'photo_delete' end
     else case when k % 2 = 0 then 'cover' else 'availability' end end as op,
   case when event_type in ('signup', 'error') and k % 5 <> 0
-       then -1 - (listing_id + case when k % 9 = 0 then 1 else 0 end) % 10
+       then {owner_of("listing_id")} - case when k % 9 = 0 then 1 else 0 end
        when k % 29 = 0 then user_id + 1000000 else user_id end as actor_id,
   case when k % 31 = 0 then listing_id + 1000000 else listing_id end as listing_id,
   case when k % 31 = 0 then null else listing_id * 10 + 1 + k % 7 end as photo_id
@@ -111,11 +114,34 @@ select cast(1 + c_custkey % 5 as int) as rating, row_number() over (partition by
 from customer
 """
 
+# Prior snapshots for the folds: what an earlier load left, and the events after it. One
+# event in five comes in late: it belongs to the second batch whatever its time.
+FIRST_BATCH = f"ts < timestamp '{SPLIT_TIME}' and event_id % 5 <> 0"
+PRIOR_REVIEWS = """
+select user_id, listing_id, min(event_id) as id, max_by(rating, ts) as rating, max_by(comment, ts) as comment,
+  min(event_id) % 3 = 0 as is_flagged, max(ts) as created_at
+from review_events_v where op = 'upsert' and {first} group by user_id, listing_id
+""".format(first=FIRST_BATCH)
+PRIOR_INQUIRIES = """
+select 1000000 + min(event_id) as id, tenant_id, listing_id, min(ts) as created_at, max(ts) as last_attempt_at,
+  case when min(event_id) % 2 = 0 then 'RESPONDED' else 'PENDING' end as status,
+  case when min(event_id) % 3 = 0 then 'hello' end as message
+from inquiry_events_v where {first} group by tenant_id, listing_id
+""".format(first=FIRST_BATCH)
+# Accounts that hold the phone another account's first event with a phone asks for.
+PRIOR_USERS = """
+select 2000000 + min(event_id) as id, concat('held-', firebase_uid) as firebase_uid, min_by(phone, event_id) as phone,
+  'OWNER' as role, 'Holder' as full_name, true as is_verified, timestamp '2020-01-01 00:00:00' as created_at,
+  'me.jpg' as profile_photo_url, timestamp '2021-01-01 00:00:00' as updated_at
+from user_events_v where phone is not null group by firebase_uid
+"""
+
 DOOMED_USERS = """
-select distinct case when k % 20 = 0 then -1 - k % 10 else user_id end as id from interactions_v where k % 10 = 0
+select c_custkey as id from customer where c_acctbal < 0
+union all select -1 - s_suppkey from supplier where s_acctbal < 0
 """
 DOOMED_LISTINGS = """
-select distinct listing_id as id from interactions_v where k % 10 = 3
+select id from listings_v where status = 'DELETED'
 """
 
 
@@ -169,7 +195,7 @@ def favorite_events(events: DataFrame) -> DataFrame:
 
 def review_events(events: DataFrame) -> DataFrame:
     upsert = F.col("event_type") == "purchase"
-    return events.where(upsert | ((F.col("event_type") == "signup") & (F.col("k") < 20))).select(
+    return events.where(F.col("event_type").isin("purchase", "signup")).select(
         "event_id", "ts", "user_id", "listing_id",
         F.when(upsert, "upsert").otherwise("delete").alias("op"),
         F.when(upsert, (1 + F.col("k") % 5).cast("int")).alias("rating"),

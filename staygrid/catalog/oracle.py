@@ -160,7 +160,7 @@ INQUIRY_FOLD = (
     "epoch_us(max(ts)) as last_attempt_at from inquiry_events_v group by tenant_id, listing_id"
 )
 USER_FOLD = compose(
-    "select firebase_uid, coalesce(phone, concat('email:', firebase_uid)) as phone, role, full_name, "
+    "select {extra}firebase_uid, coalesce(phone, concat('email:', firebase_uid)) as phone, role, full_name, "
     "false as is_verified, epoch_us(ts) as created_at from (select *, row_number() over "
     "(partition by firebase_uid order by ts, event_id) as rn from user_events_v) where rn = 1"
 )
@@ -378,8 +378,8 @@ ORACLE: dict[str, str] = {
     ),
     "normalise_requests": compose(
         """select request_id, case when lat <> 'north' then cast(lat as double) end as lat,
-  case when lng not like ' %' then cast(lng as double) end as lng,
-  cast(case when radius_km = '2.5' then 2.5 else 5.0 end as double) as radius_km,
+  cast(trim(lng) as double) as lng,
+  cast(case when radius_km in ('2.5', '2.5f') then '2.5' when radius_km like '-1e2D%' then '-100' else '5' end as double) as radius_km,
   case when regexp_full_match(min_rent, '[+-]?[0-9]+') then try_cast(replace(min_rent, '+', '') as int) end as min_rent,
   case when regexp_full_match(max_rent, '[+-]?[0-9]+') then try_cast(max_rent as int) end as max_rent,
   case when page = '1' then 1 else 0 end as page,
@@ -486,8 +486,41 @@ from listings_v l join users_v u on u.id = l.owner_id where l.status <> 'DELETED
     "fold_favorites": compose(FAVORITE_FOLD.format(order=ORDER)),
     "fold_favorites_on_prior": compose(FAVORITE_FOLD.format(order=ORDER)),
     "fold_reviews": REVIEW_FOLD,
-    "fold_inquiries": compose(INQUIRY_FOLD.format(extra="'PENDING' as status,")),
-    "fold_users": USER_FOLD,
+    "fold_inquiries": compose(INQUIRY_FOLD.format(extra=f"min_by(event_id, {ORDER}) as id, 'PENDING' as status,")),
+    "fold_reviews_on_prior": compose(
+        "select kept.id, user_id, listing_id, last.rating, last.comment, kept.is_flagged, epoch_us(last.created_at) as created_at "
+        "from (select user_id, listing_id, min_by(struct_pack(id := id, is_flagged := is_flagged), struct_pack(c := age, a := ts, b := event_id)) as kept, "
+        f"max_by(struct_pack(rating := rating, comment := comment, created_at := ts), {ORDER}) as last from later group by user_id, listing_id)",
+        prior=inputs.PRIOR_REVIEWS,
+        log="select -1 as event_id, created_at as ts, user_id, listing_id, 'upsert' as op, rating, comment, id, is_flagged, 0 as age from prior "
+        "union all select event_id, ts, user_id, listing_id, op, rating, comment, event_id, false, 1 from review_events_v "
+        f"where not ({inputs.FIRST_BATCH})",
+        later=REVIEW_LATER.format(order=ORDER).replace("review_events_v", "log"),
+    ),
+    "fold_inquiries_on_prior": compose(
+        "select text.id as id, tenant_id, listing_id, text.message as message, text.status as status, first_at as created_at, last_at as last_attempt_at "
+        "from (select tenant_id, listing_id, min_by(struct_pack(id := id, message := message, status := status), "
+        "struct_pack(c := age, a := created_at, b := event_id)) as text, epoch_us(min(created_at)) as first_at, "
+        "epoch_us(max(last_attempt_at)) as last_at from log group by tenant_id, listing_id)",
+        prior=inputs.PRIOR_INQUIRIES,
+        log="select id, tenant_id, listing_id, message, status, created_at, last_attempt_at, 0 as age, -1 as event_id from prior union all "
+        "select event_id, tenant_id, listing_id, null, 'PENDING', ts, ts, 1, event_id from inquiry_events_v "
+        f"where not ({inputs.FIRST_BATCH})",
+    ),
+    "fold_users_on_prior": compose(
+        "select id, firebase_uid, phone, role, full_name, is_verified, profile_photo_url, epoch_us(created_at) as created_at, "
+        "epoch_us(updated_at) as updated_at from prior union all select event_id, firebase_uid, "
+        "coalesce(phone, concat('email:', firebase_uid)), role, full_name, false, null, epoch_us(ts), null from "
+        "(select *, row_number() over (partition by firebase_uid order by ts, event_id) as rn from user_events_v e "
+        "where phone is null or phone not in (select phone from prior)) where rn = 1",
+        prior=inputs.PRIOR_USERS,
+    ),
+    "inquiry_summary_all": compose(
+        "select l.owner_id, l.id as listing_id, l.title as listing_title, "
+        "cast(count(distinct i.tenant_id) as int) as unique_inquirers, epoch_us(max(i.last_attempt_at)) as last_inquiry_at "
+        "from inquiries_v i join listings_v l on l.id = i.listing_id group by l.owner_id, l.id, l.title"
+    ),
+    "fold_users": USER_FOLD.format(extra="event_id as id, "),
     "refresh_ratings": compose(
         "select l.id, case when c.listing_id is null then cast(l.avg_rating as double) else "
         f"{rating('coalesce(s, 0)', 'coalesce(n, 0)')} end as avg_rating, "
@@ -581,8 +614,8 @@ left join photos_v p on p.listing_id = e.listing_id and p.id = e.photo_id""",
         acts=inputs.GATE_EVENTS,
     ),
     "insert_absent": compose(
-        "select distinct user_id, listing_id from favorites_load_v n where user_id is not null and not exists "
-        "(select 1 from favorites_v f where f.user_id = n.user_id and f.listing_id = n.listing_id)"
+        "select user_id, listing_id, epoch_us(min(created_at)) as created_at from favorites_load_v n where user_id is not null and not exists "
+        "(select 1 from favorites_v f where f.user_id = n.user_id and f.listing_id = n.listing_id) group by user_id, listing_id"
     ),
     "validate_listings": compose("select draft_id, reason from judged", **DRAFT_REASON),
     "validate_reviews": compose(
@@ -687,13 +720,56 @@ from (select *, try_cast(dob as date) as birth from given)""",
     "stream_inquiries": compose(INQUIRY_FOLD.format(extra="")),
     "stream_favorites": compose(FAVORITE_FOLD.format(order=ORDER)),
     "stream_reviews": REVIEW_FOLD,
-    "stream_users": USER_FOLD,
+    "stream_users": USER_FOLD.format(extra=""),
     "stream_ratings": compose(
         f"select t.listing_id, {rating('coalesce(s, 0)', 'coalesce(n, 0)')} as avg_rating, cast(coalesce(n, 0) as int) as review_count "
         "from (select distinct listing_id from review_events_v) t left join sums on sums.listing_id = t.listing_id",
         **REVIEWS, sums="select listing_id, sum(rating) as s, count(*) as n from state group by listing_id",
     ),
     "stream_inquiry_summary": compose(SUMMARY),
+    "stream_favorites_compacted": compose(FAVORITE_FOLD.format(order=ORDER)),
+    "event_source": "select event_type, count(*) as events from events group by event_type",
+    "table_scan": compose(
+        _union(*[
+            f"select '{name}' as table_name, count(*) as rows from {view}"
+            for name, view in (
+                ("users", "users_v"), ("listings", "listings_v"), ("room_options", "rooms_v"),
+                ("listing_amenities", "listing_amenities_v"), ("listing_photos", "photos_v"),
+                ("favorites", "favorites_v"), ("reviews", "reviews_v"), ("inquiries", "inquiries_v"),
+                ("amenities", "amenities_v"),
+            )
+        ])
+    ),
+    "document_roundtrip": compose(
+        "select l.id, l.title, cast((select count(*) from rooms_v r where r.listing_id = l.id) as int) as rooms, "
+        "cast((select count(*) from photos_v p where p.listing_id = l.id) as int) as photos, "
+        "cast((select count(*) from listing_amenities_v a where a.listing_id = l.id) as int) as amenities "
+        "from listings_v l join users_v u on u.id = l.owner_id where l.status <> 'DELETED'"
+    ),
+    "snapshot_roundtrip": compose(
+        "select user_id, listing_id, epoch_us(created_at) as created_at from favorites_v"
+    ),
+    "listing_cells": compose(
+        "select cast(floor(lat / 0.04) as int) as cell_lat, cast(floor(lng / 0.04) as int) as cell_lng, "
+        "count(*) as listings from listings_v group by all"
+    ),
+    "search_envelope": compose(
+        "select v.request_id, cast(count(p.listing_id) as int) as rows, v.page, v.n as size, "
+        "cast((select count(*) from hits h where h.request_id = v.request_id) as int) as total, "
+        "min_by(p.listing_id, p.position) as first_listing from valid v left join paged p on p.request_id = v.request_id "
+        "group by v.request_id, v.page, v.n",
+        **BATCH,
+    ),
+    "documents_for": compose(
+        "select a.user_id, a.listing_id, f.user_id is not null as is_favorite, l.title, "
+        "cast((select count(*) from rooms_v r where r.listing_id = l.id) as int) as rooms, "
+        "cast((select count(*) from photos_v p where p.listing_id = l.id) as int) as photos, "
+        "cast((select least(count(*), 5) from reviews_v r join users_v w on w.id = r.user_id "
+        "where r.listing_id = l.id and r.is_flagged = false) as int) as reviews "
+        "from asked a join listings_v l on l.id = a.listing_id join users_v u on u.id = l.owner_id "
+        "left join favorites_v f on f.user_id = a.user_id and f.listing_id = a.listing_id where l.status <> 'DELETED'",
+        asked="select user_id, listing_id from favorites_v union select user_id, listing_id + 1 from favorites_v",
+    ),
     "backfill_reviews": compose(
         "select listing_id, user_id, rating, comment, epoch_us(created_at) as created_at from added", **BACKFILL
     ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,15 @@ from pyspark.sql import types as T
 
 from staygrid.catalog import inputs
 from staygrid.catalog.fixtures import Fixtures, interactions
-from staygrid.functions.geo import with_geodesic_m
+from staygrid.functions.geo import with_geodesic_m, with_point
 from staygrid.operators import enrich, filters, folds, gates, quality, spatial
-from staygrid.operators.paging import newest_first
+from staygrid.operators.paging import newest_first, page_per_request
+from staygrid.operators.skew import with_group_number
 from staygrid.plans import documents, generate, reports, search
 from staygrid.session import work_path
-from staygrid.sources.drafts import parse_drafts
+from staygrid.sources.drafts import read_drafts
+from staygrid.sources.sinks import envelope, read_snapshot, write_documents, write_snapshot
+from staygrid.sources.tables import load_tables
 from staygrid.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,17 +287,54 @@ def fold_reviews(f):
     )
 
 
+def _second_batch(f, view):
+    return f.sql(f"select * from {view} where not ({inputs.FIRST_BATCH})")
+
+
+@query
+def fold_reviews_on_prior(f):
+    """Late upserts, resets and flagged rows on top of an earlier snapshot."""
+    prior = f.sql(inputs.PRIOR_REVIEWS).withColumns(
+        {n: F.lit(None).cast("date") for n in ("stayed_from", "stayed_until")}
+    )
+    return folds.fold_reviews(_second_batch(f, "review_events_v"), prior).select(
+        "id", "user_id", "listing_id", "rating", "comment", "is_flagged", "created_at"
+    )
+
+
+@query
+def fold_inquiries_on_prior(f):
+    events = _second_batch(f, "inquiry_events_v")
+    return folds.fold_inquiries(events, f.sql(inputs.PRIOR_INQUIRIES)).select(
+        "id", "tenant_id", "listing_id", "message", "status", "created_at", "last_attempt_at"
+    )
+
+
+@query
+def fold_users_on_prior(f):
+    """Accounts whose first phone is held by a user that was there before."""
+    return folds.fold_users(f.view("user_events_v"), f.sql(inputs.PRIOR_USERS)).select(
+        "id", "firebase_uid", "phone", "role", "full_name", "is_verified", "profile_photo_url",
+        "created_at", "updated_at",
+    )
+
+
+@query
+def inquiry_summary_all(f):
+    return reports.inquiry_summary(f.inquiries, f.listings, n=None)
+
+
 @query
 def fold_inquiries(f):
     return folds.fold_inquiries(f.view("inquiry_events_v")).select(
-        "tenant_id", "listing_id", "status", "created_at", "last_attempt_at"
+        "id", "tenant_id", "listing_id", "status", "created_at", "last_attempt_at"
     )
 
 
 @query
 def fold_users(f):
     return folds.fold_users(f.view("user_events_v")).select(
-        "firebase_uid", "phone", "role", "full_name", "is_verified", "created_at"
+        "id", "firebase_uid", "phone", "role", "full_name", "is_verified", "created_at"
     )
 
 
@@ -407,7 +448,7 @@ def gate_events(f):
 @query
 def insert_absent(f):
     new = f.view("favorites_load_v").where(F.col("user_id").isNotNull())
-    return folds.insert_absent(new.select("user_id", "listing_id"), f.favorites, ["user_id", "listing_id"])
+    return folds.insert_absent(new, f.favorites, ["user_id", "listing_id"], ["created_at"])
 
 
 # --- validation -------------------------------------------------------------------
@@ -460,7 +501,9 @@ def validate_ids(f):
 
 @query
 def draft_ingest(f):
-    return parse_drafts(f.sql(inputs.DRAFT_LINES), "line").select(
+    path = work_path(f.spark, "drafts")
+    f.sql(inputs.DRAFT_LINES).write.text(path)
+    return read_drafts(f.spark, path).select(
         "title", "city", "latitude", F.size("rooms").alias("rooms"),
         F.try_element_at("rooms", F.lit(1))["notice_period_days"].alias("notice"),
         F.size("amenity_ids").alias("amenities"), "reason",
@@ -502,7 +545,8 @@ def cascade_plan(f):
 def _streamed(f, label, start, shape):
     """Run a stream over the event table to its end; returns the output path."""
     path = work_path(f.spark, label)
-    start(shape(interactions(f.event_stream())), path).awaitTermination()
+    listings = f.sql("select count(*) as n from part").first()["n"]
+    start(shape(interactions(f.event_stream(), listings)), path).awaitTermination()
     return path
 
 
@@ -546,14 +590,126 @@ def stream_inquiry_summary(f):
     return jobs.read_inquiry_summary(f.spark, path, f.listings)
 
 
+@query
+def stream_favorites_compacted(f):
+    """The favourite log folded into a base twice, the second time over its own result."""
+    path = _streamed(f, "stream-compact", jobs.stream_favorites, inputs.favorite_events)
+    for _ in range(2):
+        jobs.compact(f.spark, path, jobs.retain_favorites)
+    return jobs.read_favorites(f.spark, path)
+
+
+# --- sources and sinks ---------------------------------------------------------------
+
+
+@query
+def event_source(f):
+    """The event folder read as a stream, counted per type."""
+    path = work_path(f.spark, "event-source")
+    counted = f.event_stream().groupBy("event_type").count()
+
+    def keep(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    rows = f.spark.read.parquet(f"{path}/out")
+    return rows.groupBy("event_type").agg(F.max_by("count", "epoch").alias("events"))
+
+
+@query
+def table_scan(f):
+    """Tables written in their own layout and read by the typed scan."""
+    path = work_path(f.spark, "tables")
+    for name, df in inputs.clean_tables(f).items():
+        df.write.parquet(f"{path}/{name}")
+    tables = load_tables(f.spark, path)
+    return reduce(
+        DataFrame.unionByName,
+        [df.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("rows")) for n, df in tables.items()],
+    )
+
+
+@query
+def document_roundtrip(f):
+    """Documents written as JSON lines and read back."""
+    path = work_path(f.spark, "documents")
+    write_documents(
+        documents.listing_documents(
+            f.listings, f.users, f.rooms, f.photos, f.links, f.amenities, f.reviews
+        ), path,
+    )
+    shape = ("id long, title string, room_options array<struct<id:long>>, photos array<struct<id:long>>, "
+             "amenities array<struct<id:long>>")
+    return f.spark.read.schema(shape).json(path).select(
+        "id", "title", F.size("room_options").alias("rooms"), F.size("photos").alias("photos"),
+        F.size("amenities").alias("amenities"),
+    )
+
+
+@query
+def snapshot_roundtrip(f):
+    """Two versions of two tables; the older one is read back by number."""
+    path = work_path(f.spark, "snapshots")
+    first = write_snapshot({"favorites": f.favorites, "reviews": f.reviews}, path)
+    write_snapshot({"favorites": f.favorites.limit(0), "reviews": f.reviews.limit(0)}, path)
+    return read_snapshot(f.spark, path, "favorites", first)
+
+
+@query
+def listing_cells(f):
+    """Listings stored from (longitude, latitude) drafts, counted per grid cell."""
+    drafts = f.listings.select("id", F.col("lng").alias("longitude"), F.col("lat").alias("latitude"))
+    return spatial.grid_columns(with_point(drafts), 2).groupBy("cell_lat", "cell_lng").agg(
+        F.count(F.lit(1)).alias("listings")
+    )
+
+
+@query
+def search_envelope(f):
+    """One response per valid request, empty pages included."""
+    valid = quality.accepted(quality.validate_requests(f.requests))
+    matches = search.search_matches(valid, f.listings, f.rooms)
+    asked = valid.select("request_id", "page", "size")
+    totals = asked.join(search.search_totals(valid, matches), "request_id")
+    rows = page_per_request(matches, asked)
+    return envelope(totals, rows, "request_id", ["listing_id"]).select(
+        "request_id", F.size("data").alias("rows"), "meta.page", "meta.size", "meta.total",
+        F.try_element_at("data", F.lit(1))["listing_id"].alias("first_listing"),
+    )
+
+
+@query
+def documents_for(f):
+    """Documents of the listings each user has as favourites, and of one more."""
+    asked = f.favorites.select("user_id", "listing_id").unionByName(
+        f.favorites.select("user_id", (F.col("listing_id") + 1).alias("listing_id"))
+    ).distinct()
+    found = documents.documents_for(
+        asked, f.listings, f.users, f.rooms, f.photos, f.links, f.amenities, f.reviews, f.favorites
+    )
+    return found.select(
+        "user_id", "listing_id", "is_favorite", "title", F.size("room_options").alias("rooms"),
+        F.size("photos").alias("photos"), F.size("recent_reviews").alias("reviews"),
+    )
+
+
 # --- generators -----------------------------------------------------------------------
 
 
+def _comment_pool(f):
+    """The comments numbered within their rating by a distributed sort."""
+    texts = f.sql("select cast(1 + c_custkey % 5 as int) as rating, c_custkey, "
+                  "concat('comment ', cast(c_custkey as string)) as comment from customer")
+    return with_group_number(texts, ["rating"], ["c_custkey"], "ord").select("rating", "ord", "comment")
+
+
 def _backfill(f):
     return generate.backfill_reviews(
         f.sql(inputs.RATING_TARGETS).withColumn("ratings", F.split("ratings", ",").cast("array<int>")),
         f.listings, f.users.where(F.col("firebase_uid").startswith("uid-")),
-        f.sql(inputs.COMMENT_POOL), f.reviews, F.lit(inputs.AS_OF_TIME).cast("timestamp"),
+        _comment_pool(f), f.reviews, F.lit(inputs.AS_OF_TIME).cast("timestamp"),
     )
 
 

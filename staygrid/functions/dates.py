@@ -17,7 +17,3 @@ def age_years(dob, as_of) -> Column:
         F.month(dob) * 100 + F.dayofmonth(dob)
     )
     return F.year(as_of) - F.year(dob) - before_birthday.cast("int")
-
-
-def epoch_micros(ts) -> Column:
-    return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)

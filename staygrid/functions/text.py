@@ -10,7 +10,9 @@ WHITE_SPACE = r"[\s\p{Z}\x1C-\x1F]"
 ID_SHAPE = r"[0-9a-fA-F-]{36}"
 ISO_DATE_SHAPE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 INTEGER_SHAPE = r"[+-]?[0-9]+"
-NUMBER_SHAPE = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
+NUMBER_SHAPE = r"([+-]?)(NaN|Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[fFdD]?"
+# What surrounds a decimal and is passed over: all characters up to the blank.
+DECIMAL_MARGIN = r"[\x00-\x20]*"
 
 
 def _col(c) -> Column:
@@ -60,4 +62,9 @@ def int_or_null(c) -> Column:
 
 
 def double_or_null(c) -> Column:
-    return F.when(full_match(c, NUMBER_SHAPE), _col(c).try_cast("double"))
+    """A decimal as the reading language takes it: blanks around it, a type letter behind
+    it, NaN and Infinity are allowed; NULL for anything else. Hexadecimal floats are not
+    read and give NULL."""
+    whole = rf"\A{DECIMAL_MARGIN}{NUMBER_SHAPE}{DECIMAL_MARGIN}\z"
+    sign, digits = (F.regexp_extract(_col(c), whole, k) for k in (1, 2))
+    return F.when(_col(c).rlike(whole), F.concat(sign, digits).try_cast("double"))

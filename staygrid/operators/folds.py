@@ -63,7 +63,9 @@ def fold_reviews(events: DataFrame, prior: DataFrame | None = None) -> DataFrame
     removes; an upsert after a delete is a new row with fresh defaults.
 
     ``events``: event_id, ts, user_id, listing_id, op, rating, comment. A new row
-    takes its first event's id as id, so a rerun gives the same ids.
+    takes its first event's id as id, so a rerun gives the same ids. A row that was
+    there before keeps its id, stay dates and moderation flag, also when an event
+    with an earlier time comes in late.
     """
     keys = ["user_id", "listing_id"]
     fresh = events.select(
@@ -71,7 +73,7 @@ def fold_reviews(events: DataFrame, prior: DataFrame | None = None) -> DataFrame
         F.col("event_id").alias("id"),
         F.lit(None).cast("date").alias("stayed_from"),
         F.lit(None).cast("date").alias("stayed_until"),
-        F.lit(False).alias("is_flagged"),
+        F.lit(False).alias("is_flagged"), F.lit(1).alias("_age"),
     )
     log = fresh
     if prior is not None:
@@ -79,12 +81,12 @@ def fold_reviews(events: DataFrame, prior: DataFrame | None = None) -> DataFrame
             prior.select(
                 F.lit(None).cast(fresh.schema["event_id"].dataType).alias("event_id"),
                 F.col("created_at").alias("ts"), *keys, F.lit("upsert").alias("op"),
-                "rating", "comment", *KEPT_REVIEW_FIELDS,
+                "rating", "comment", *KEPT_REVIEW_FIELDS, F.lit(0).alias("_age"),
             )
         )
     upserts = after_last_reset(log, keys, F.col("op") == "delete")
     folded = upserts.groupBy(*keys).agg(
-        F.min_by(F.struct(*KEPT_REVIEW_FIELDS), event_time()).alias("_kept"),
+        F.min_by(F.struct(*KEPT_REVIEW_FIELDS), F.struct("_age", "ts", "event_id")).alias("_kept"),
         F.max_by(F.struct("rating", "comment", F.col("ts").alias("created_at")), event_time()).alias("_last"),
     )
     return folded.select("_kept.id", *keys, "_last.rating", "_last.comment",
@@ -93,35 +95,41 @@ def fold_reviews(events: DataFrame, prior: DataFrame | None = None) -> DataFrame
 
 
 def fold_inquiries(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """First and latest attempt per (tenant, listing); status and message stay.
+    """First and latest attempt per (tenant, listing); id, status and message stay.
 
-    Fully commutative: any order and any split of the events gives the same state.
+    Any order and any split of the events gives the same times and texts. A new row
+    takes its first event's id.
     """
     keys = ["tenant_id", "listing_id"]
     log = events.select(
         *keys, F.col("ts").alias("created_at"), F.col("ts").alias("last_attempt_at"),
+        F.col("event_id").alias("id"),
         F.lit(None).cast("string").alias("message"), F.lit("PENDING").alias("status"),
-        F.lit(1).alias("_age"),
+        F.struct(F.lit(1).alias("age"), "ts", "event_id").alias("_age"),
     )
     if prior is not None:
         log = log.unionByName(
             prior.withColumns(
                 {
-                    name: F.col(name) if name in prior.columns else F.lit(value).cast("string")
-                    for name, value in (("message", None), ("status", "PENDING"))
+                    name: F.col(name) if name in prior.columns else F.lit(value).cast(log.schema[name].dataType)
+                    for name, value in (("id", None), ("message", None), ("status", "PENDING"))
                 }
-            ).select(*keys, "created_at", "last_attempt_at", "message", "status",
-                     F.lit(0).alias("_age"))
+            ).select(
+                *keys, "created_at", "last_attempt_at", "id", "message", "status",
+                F.struct(F.lit(0).alias("age"), F.col("created_at").alias("ts"),
+                         F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id")).alias("_age"),
+            )
         )
-    # A prior row's message and status win over those of a first attempt.
+    # A prior row's id, message and status win over those of a first attempt.
     return log.groupBy(*keys).agg(
         F.min("created_at").alias("created_at"),
         F.max("last_attempt_at").alias("last_attempt_at"),
-        F.min_by(F.struct("message", "status"), "_age").alias("_text"),
-    ).select(*keys, "_text.message", "_text.status", "created_at", "last_attempt_at")
+        F.min_by(F.struct("id", "message", "status"), "_age").alias("_text"),
+    ).select("_text.id", *keys, "_text.message", "_text.status", "created_at", "last_attempt_at")
 
 
-USER_FIELDS = ["role", "full_name", "email", "gender", "dob"]
+USER_FIELDS = ["role", "full_name", "email", "gender", "dob", "profile_photo_url", "updated_at"]
+USER_KINDS = {"dob": "date", "updated_at": "timestamp"}
 
 
 def user_candidates(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -133,10 +141,10 @@ def user_candidates(events: DataFrame, prior: DataFrame | None = None) -> DataFr
     log = events.select(
         F.col("firebase_uid"), default_phone("phone", "firebase_uid").alias("phone"),
         *[
-            F.col(n) if n in events.columns else F.lit(None).cast("date" if n == "dob" else "string").alias(n)
+            F.col(n) if n in events.columns else F.lit(None).cast(USER_KINDS.get(n, "string")).alias(n)
             for n in USER_FIELDS
         ],
-        F.lit(False).alias("is_verified"),
+        F.lit(False).alias("is_verified"), F.col("event_id").alias("id"),
         F.struct(F.lit(1).alias("era"), "ts", "event_id").alias("_at"),
     )
     if prior is not None:
@@ -149,13 +157,14 @@ def user_candidates(events: DataFrame, prior: DataFrame | None = None) -> DataFr
                     for n in USER_FIELDS
                 ],
                 F.coalesce("is_verified", F.lit(False)).alias("is_verified"),
+                F.col("id") if "id" in prior.columns else F.lit(None).cast(log.schema["id"].dataType).alias("id"),
                 F.struct(
                     F.lit(0).alias("era"), F.col("created_at").cast("timestamp").alias("ts"),
                     F.lit(None).cast(kinds["event_id"].dataType).alias("event_id"),
                 ).alias("_at"),
             )
         )
-    rest = [*USER_FIELDS, "is_verified"]
+    rest = [*USER_FIELDS, "is_verified", "id"]
     return (
         log.groupBy("firebase_uid", "phone")
         .agg(F.min("_at").alias("_at"), F.min_by(F.struct(*rest), "_at").alias("_row"))
@@ -171,7 +180,8 @@ def fold_users(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     every account try its earliest open event; a try loses if an earlier try wants
     the same phone, and is struck off. When nobody loses, the tries are the users.
     Equal to handling the events one by one in time order. Without a phone clash
-    the first round settles it.
+    the first round settles it. Users that were there before keep all they have; a new
+    one takes its event's id. Jobs run while the plan is built.
     """
     open_tries = user_candidates(events, prior)
     while True:
@@ -359,10 +369,8 @@ def apply_availability(events: DataFrame, rooms: DataFrame, listings: DataFrame)
 
 
 def apply_photo_inserts(meta: DataFrame, photos: DataFrame) -> DataFrame:
-    """Photos appended at display_order = number of photos so far, six at most.
-
-    Returns the new rows; the thumbnail is the url.
-    """
+    """The rows that uploads add to ``photos``: at display_order = number of photos so
+    far, six at most; the thumbnail is the url."""
     good = accepted(validate_photos(meta, photo_count(photos)))
     return good.select(
         F.col("upload_key").alias("id"), "listing_id",
@@ -447,6 +455,18 @@ def apply_cover_changes(events: DataFrame, photos: DataFrame) -> DataFrame:
     ).drop("_place", "_seen")
 
 
-def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not there yet, once per key."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+def insert_absent(
+    new: DataFrame, existing: DataFrame, keys: list[str], order: list[str] | None = None
+) -> DataFrame:
+    """Rows of ``new`` whose key is not there yet, once per key.
+
+    Of several rows with one key the first by ``order`` stays; the values of all
+    columns break ties and are the order if none is given.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    once = new.select(*keys).distinct()
+    if rest:
+        everything = F.struct(*rest)
+        place = F.struct(*(order or []), *[c for c in rest if c not in (order or [])])
+        once = new.groupBy(*keys).agg(F.min_by(everything, place).alias("_row")).select(*keys, "_row.*")
+    return once.join(existing.select(*keys), keys, "left_anti").select(*new.columns)

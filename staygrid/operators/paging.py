@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staygrid.operators.skew import with_group_number
-
-# Pages that end within this many rows are ranked with a literal bound, which
-# lets Spark drop all other rows of a request before the shuffle.
-SHALLOW_ROWS = 1000
-BANDS = 4096
-
 
 def newest_first(column: str, *keys: str) -> list[Column]:
     """Descending time; an unset time comes first, as the source database sorts it."""
@@ -33,58 +26,24 @@ def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int,
     return df.withColumn(name, place).where(F.col(name) <= n)
 
 
-def has_deep_pages(requests: DataFrame) -> bool:
-    """Whether any request's page ends beyond ``SHALLOW_ROWS``.
-
-    A small job on two columns of the request table, so that the common plan need
-    not carry the banded branch.
-    """
-    end = (F.col("page").cast("bigint") + 1) * F.col("size")
-    return not requests.where(end > SHALLOW_ROWS).isEmpty()
-
-
-def page_per_request(matches: DataFrame, deep: bool = True) -> DataFrame:
+def page_per_request(matches: DataFrame, requests: DataFrame) -> DataFrame:
     """The page of each request by (distance_m, listing_id), with ``position`` and the
-    request's ``total`` number of matches.
+    request's ``total`` number of matches; all columns of ``requests`` ride along.
 
-    ``matches`` carries request_id, listing_id, distance_m, radius_m, page, size.
-    The literal bound on the rank lets Spark drop all further rows of a request
-    before the shuffle; the total is a combining count. With ``deep``, requests
-    whose page ends beyond ``SHALLOW_ROWS`` are first counted per distance band, so
-    only the bands their page touches are ranked. Both ways are exact.
+    ``matches`` carries request_id, listing_id, distance_m; ``requests`` request_id, page,
+    size. Any page is served by the same plan: three narrow columns are shuffled once by
+    request, and both the rank and the count are taken above that one shuffle, so each
+    pair is measured once. The matches of one request, at most the number of listings,
+    are sorted in one task and spill beyond its memory.
     """
     skip = F.col("page").cast("bigint") * F.col("size")
-    bounded = matches.withColumns({"_skip": skip, "_end": skip + F.col("size")})
-    order = [F.col("distance_m").asc(), F.col("listing_id").asc()]
-    shallow = bounded.where(F.col("_end") <= SHALLOW_ROWS) if deep else bounded
-    best = top_per_group(shallow, ["request_id"], order, SHALLOW_ROWS, "position")
-    best = best.where((F.col("position") > F.col("_skip")) & (F.col("position") <= F.col("_end")))
-    totals = shallow.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
-    paged = best.join(totals, "request_id").drop("_skip", "_end")
-    return paged.unionByName(_deep_pages(bounded)) if deep else paged
-
-
-def _deep_pages(bounded: DataFrame) -> DataFrame:
-    text = f"""
-      with banded as (
-        select *, case when radius_m > 0
-            then cast(floor(distance_m / radius_m * {BANDS}) as int) else 0 end as _band
-        from {{bounded}} where _end > {SHALLOW_ROWS}),
-      counts as (
-        select request_id, _band, _skip, _end, count(*) as _n from banded
-        group by request_id, _band, _skip, _end),
-      -- at most {BANDS + 1} rows per request
-      touched as (
-        select request_id, _band, _ahead, cast(_total as int) as total from (
-          select *, sum(_n) over (partition by request_id order by _band) - _n as _ahead,
-            sum(_n) over (partition by request_id) as _total from counts)
-        where _ahead < _end and _ahead + _n > _skip)
-      select * from banded join touched using (request_id, _band)
-    """
-    kept = bounded.sparkSession.sql(text, bounded=bounded)
-    # Very many matches at one distance share a band, so the band is numbered by a
-    # distributed sort and not by a window in one task.
-    ranked = with_group_number(kept, ["request_id", "_band"], ["distance_m", "listing_id"], "_rank")
-    placed = ranked.withColumn("position", (F.col("_ahead") + F.col("_rank")).cast("int"))
-    on_page = (F.col("position") > F.col("_skip")) & (F.col("position") <= F.col("_end"))
-    return placed.where(on_page).drop("_skip", "_end", "_band", "_ahead", "_rank")
+    mine = Window.partitionBy("request_id")
+    ranked = matches.select("request_id", "listing_id", "distance_m").withColumns(
+        {
+            "position": F.row_number().over(mine.orderBy("distance_m", "listing_id")),
+            "total": F.count(F.lit(1)).over(mine).cast("int"),
+        }
+    )
+    placed = ranked.join(requests.withColumn("_skip", skip), "request_id")
+    on_page = (F.col("position") > F.col("_skip")) & (F.col("position") <= F.col("_skip") + F.col("size"))
+    return placed.where(on_page).drop("_skip")

@@ -23,6 +23,7 @@ from staygrid.functions.text import (
     valid_id_shape,
 )
 from staygrid.operators.filters import clamp_size, in_query_box
+from staygrid.operators.skew import split_join
 from staygrid.schema import (
     DEFAULT_PAGE_SIZE,
     DEFAULT_RADIUS_KM,
@@ -42,6 +43,7 @@ from staygrid.schema import (
     ROLES,
     SHARING_TYPES,
 )
+from staygrid.session import stored
 
 
 def first_reason(*rules: tuple[Column, str]) -> Column:
@@ -183,9 +185,10 @@ def validate_photos(meta: DataFrame, counts: DataFrame) -> DataFrame:
     size_bytes) on top of the existing photo ``counts`` per listing.
 
     A failed upload takes no place. A good one gets ``display_order`` = number of
-    photos before it and is refused from the sixth on. Only the first six good
-    uploads of a listing can ever be placed, so ranking stops there (the literal
-    bound prunes before the shuffle); every later one meets a full listing.
+    photos before it and is refused from the sixth on; a full listing refuses before it
+    looks at the file. Every upload row is judged once, equal rows one after the other;
+    the rank travels on the row, so nothing is joined back. A listing's uploads are
+    sorted in one task (sort-spilled, one counter of state).
     """
     file_reason = first_reason(
         (~F.coalesce(F.col("content_type").startswith("image/"), F.lit(False)), "content type"),
@@ -195,39 +198,22 @@ def validate_photos(meta: DataFrame, counts: DataFrame) -> DataFrame:
         ),
         (F.col("size_bytes") > MAX_PHOTO_BYTES, "too large"),
     )
-    order = F.struct("uploaded_at", "upload_key")
-    checked = meta.withColumn("_file", file_reason).withColumn("_at", order)
-    arrival = Window.partitionBy("listing_id").orderBy("_at")
-    first = (
-        checked.where(F.col("_file").isNull())
-        .select("listing_id", "_at")
-        .withColumn("_rank", F.row_number().over(arrival))
-        .where(F.col("_rank") <= MAX_PHOTOS_PER_LISTING)
+    before = (
+        Window.partitionBy("listing_id").orderBy("uploaded_at", "upload_key", F.col("_file").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # At most six rows per listing remain: their last arrival that still fits.
-    fits = (
-        first.join(counts, "listing_id", "left")
-        .withColumn("_order", F.coalesce("photo_count", F.lit(0)) + F.col("_rank") - 1)
-        .where(F.col("_order") < MAX_PHOTOS_PER_LISTING)
-        .select("listing_id", "_at", F.col("_order").cast("int").alias("display_order"))
-    )
-    filled = (
-        first.join(counts, "listing_id", "left")
-        .where(F.coalesce("photo_count", F.lit(0)) + F.col("_rank") == MAX_PHOTOS_PER_LISTING)
-        .select("listing_id", F.col("_at").alias("_filled_at"))
-    )
-    state = counts.join(filled, "listing_id", "full")
-    # A full listing refuses before it looks at the file.
-    full_before = (F.coalesce("photo_count", F.lit(0)) >= MAX_PHOTOS_PER_LISTING) | F.coalesce(
-        F.col("_at") > F.col("_filled_at"), F.lit(False)
-    )
-    reason = F.coalesce(F.when(full_before, F.lit("too many photos")), F.col("_file"))
-    return (
-        checked.join(fits, ["listing_id", "_at"], "left")
-        .join(state, "listing_id", "left")
-        .withColumn("reason", reason)
-        .drop("_file", "_at", "_filled_at", "photo_count")
+    ranked = meta.withColumn("_file", file_reason).withColumn(
+        "_good", F.coalesce(F.sum(F.col("_file").isNull().cast("int")).over(before), F.lit(0))
     )
+    placed = split_join(ranked, counts.select("listing_id", "photo_count"), ["listing_id"], "left", "upload_key")
+    taken = F.coalesce("photo_count", F.lit(0)) + F.col("_good")
+    full = taken >= MAX_PHOTOS_PER_LISTING
+    return placed.withColumns(
+        {
+            "display_order": F.when(~full & F.col("_file").isNull(), taken.cast("int")),
+            "reason": F.when(full, F.lit("too many photos")).otherwise(F.col("_file")),
+        }
+    ).drop("_file", "_good", "photo_count")
 
 
 def check_id_shape(df: DataFrame, column: str) -> DataFrame:
@@ -332,41 +318,53 @@ def cascade_plan(tables: dict[str, DataFrame], doomed: dict[str, DataFrame]) ->
 
     Rows (table, key, action): 'delete' for rows that go along, 'blocked' for rows
     whose reference has no cascade and therefore stops the deletion. Deleting a
-    user takes the user's listings along, and those take their children.
+    user takes the user's listings along, and those take their children. A row that
+    is deleted through one reference and blocked through another is listed as both.
+
+    The doomed ids are one table (parent, id), written once. Every child is read once:
+    its references are turned into rows and meet the table in one join.
     """
-    users = doomed.get("users")
-    gone = doomed.get("listings")
-    if users is not None:
+    spark = next(iter(tables.values())).sparkSession
+    kind = "string"
+    named = [
+        ids.select(F.lit(name).alias("parent"), F.col("id").cast(kind).alias("ref"))
+        for name, ids in doomed.items()
+    ]
+    if "users" in doomed:
         owned = tables["listings"].join(
-            users.select(F.col("id").alias("owner_id")), "owner_id", "left_semi"
-        ).select("id")
-        gone = owned if gone is None else gone.select("id").unionByName(owned).distinct()
-    keys = {"users": users, "listings": gone}
-    keys = {name: ids for name, ids in keys.items() if ids is not None}
-
-    plan = [
-        tables[name].join(ids.select("id"), "id", "left_semi").select(
-            F.lit(name).alias("table_name"), F.col("id").cast("string").alias("row_key"),
-            F.lit("delete").alias("action"),
+            doomed["users"].select(F.col("id").alias("owner_id")), "owner_id", "left_semi"
         )
-        for name, ids in keys.items()
-    ]
+        named.append(owned.select(F.lit("listings").alias("parent"), F.col("id").cast(kind).alias("ref")))
+    gone = stored(_union(named).distinct(), "doomed")
+
     primary = {table: columns for table, columns, is_primary in KEYS if is_primary}
+    references: dict[str, list[tuple[str, str, bool]]] = {}
+    for name in ("users", "listings"):
+        references[name] = [("id", name, True)]
     for child, column, parent, cascades in FOREIGN_KEYS:
-        if parent not in keys or child == "listings" or child not in tables:
+        if parent in ("users", "listings") and child != "listings":
+            references.setdefault(child, []).append((column, parent, cascades))
+    plan = []
+    for child, columns in references.items():
+        if child not in tables:
             continue
-        hit = tables[child].join(
-            keys[parent].select(F.col("id").alias(column)), column, "left_semi"
-        )
-        key = [c for c in primary[child] if c in hit.columns] or ["tenant_id", "listing_id"]
-        plan.append(
-            hit.select(
-                F.lit(child).alias("table_name"), _text_key(key).alias("row_key"),
+        df = tables[child]
+        key = [c for c in primary[child] if c in df.columns] or ["tenant_id", "listing_id"]
+        pointed = [
+            F.struct(
+                F.lit(parent).alias("parent"), F.col(column).cast(kind).alias("ref"),
                 F.lit("delete" if cascades else "blocked").alias("action"),
             )
-        )
-    # A row can be reached through its user and through its listing.
-    return _union(plan).distinct()
+            for column, parent, cascades in columns if column in df.columns
+        ]
+        rows = df.select(_text_key(key).alias("row_key"), F.explode(F.array(*pointed)).alias("_r"))
+        hit = rows.select("row_key", "_r.*").join(gone, ["parent", "ref"], "left_semi")
+        found = hit.select(F.lit(child).alias("table_name"), "row_key", "action")
+        # Only a row with several references can turn up twice.
+        plan.append(found.distinct() if len(pointed) > 1 else found)
+    if not plan:
+        return spark.createDataFrame([], "table_name string, row_key string, action string")
+    return _union(plan)
 
 
 def rating_drift(listings: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -86,7 +86,21 @@ def listing_documents(
     )
 
 
-def documents_for(asked: DataFrame, documents: DataFrame, favorites: DataFrame) -> DataFrame:
-    """Documents for (user_id, listing_id) rows, with the user's favourite flag."""
-    keyed = documents.withColumnRenamed("id", "listing_id")
-    return with_favorite_flag(asked, favorites).join(keyed, "listing_id")
+def documents_for(
+    asked: DataFrame, listings: DataFrame, users: DataFrame, rooms: DataFrame, photos: DataFrame,
+    links: DataFrame, amenities: DataFrame, reviews: DataFrame, favorites: DataFrame,
+) -> DataFrame:
+    """Documents for (user_id, listing_id) rows, with the user's favourite flag.
+
+    The asked listings meet every table before anything is built from it, so documents
+    are made for these listings only. Asked listings that cannot be shown drop out.
+    """
+    wanted = asked.select("listing_id").distinct()
+
+    def of(table: DataFrame, key: str = "listing_id") -> DataFrame:
+        return table.join(wanted.withColumnRenamed("listing_id", key), key, "left_semi")
+
+    documents = listing_documents(
+        of(listings, "id"), users, of(rooms), of(photos), of(links), amenities, of(reviews)
+    ).withColumnRenamed("id", "listing_id")
+    return with_favorite_flag(asked, favorites).join(documents, "listing_id")

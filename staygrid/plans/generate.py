@@ -61,9 +61,10 @@ def backfill_reviews(
         ["reviewer"], "inner", "sequence",
     ).select(
         "listing_id", "user_id", "rating", "comment",
-        F.timestamp_seconds(F.unix_timestamp(as_of) - seconds).alias("created_at"),
+        F.timestamp_seconds(F.unix_timestamp(as_of) - seconds).alias("created_at"), "sequence",
     )
-    return insert_absent(filled, existing, ["listing_id", "user_id"])
+    # A reviewer who comes round to a listing twice keeps the earlier row.
+    return insert_absent(filled, existing, ["listing_id", "user_id"], ["sequence"]).drop("sequence")
 
 
 def backfilled_ratings(existing: DataFrame, added: DataFrame, listings: DataFrame) -> DataFrame:
@@ -92,23 +93,29 @@ def _between(low: int, span: int, draw: Column) -> Column:
     return (F.lit(low) + F.floor(draw * span + 0.5)).cast("int")
 
 
+# Rooms of a generated listing (lowest rent and deposit, and the span above).
+DOUBLE_RENT, DOUBLE_DEPOSIT, DOUBLE_BEDS, DOUBLE_FREE = (8000, 7000), (15000, 10000), 4, (1, 3)
+SINGLE_RENT, SINGLE_DEPOSIT, SINGLE_BEDS = (14000, 8000), (25000, 15000), 1
+NOTICE_DAYS = 30
+
+
 def generate_rooms(listings: DataFrame, seed: int) -> DataFrame:
     """A DOUBLE room for every listing and a SINGLE one for PG and COLIVING."""
     ids = listings.select(F.col("id").alias("listing_id"), "pg_type")
     double = ids.select(
         "listing_id", F.lit("DOUBLE").alias("sharing_type"),
-        _between(8000, 7000, uniform(seed, "double rent", "listing_id")).alias("monthly_rent"),
-        _between(15000, 10000, uniform(seed, "double deposit", "listing_id")).alias("security_deposit"),
-        F.lit(4).alias("total_beds"),
-        _between(1, 3, uniform(seed, "double free", "listing_id")).alias("available_beds"),
-        F.lit(30).alias("notice_period_days"),
+        _between(*DOUBLE_RENT, uniform(seed, "double rent", "listing_id")).alias("monthly_rent"),
+        _between(*DOUBLE_DEPOSIT, uniform(seed, "double deposit", "listing_id")).alias("security_deposit"),
+        F.lit(DOUBLE_BEDS).alias("total_beds"),
+        _between(*DOUBLE_FREE, uniform(seed, "double free", "listing_id")).alias("available_beds"),
+        F.lit(NOTICE_DAYS).alias("notice_period_days"),
     )
     single = ids.where(F.col("pg_type").isin("COLIVING", "PG")).select(
         "listing_id", F.lit("SINGLE").alias("sharing_type"),
-        _between(14000, 8000, uniform(seed, "single rent", "listing_id")).alias("monthly_rent"),
-        _between(25000, 15000, uniform(seed, "single deposit", "listing_id")).alias("security_deposit"),
-        F.lit(1).alias("total_beds"), F.lit(1).alias("available_beds"),
-        F.lit(30).alias("notice_period_days"),
+        _between(*SINGLE_RENT, uniform(seed, "single rent", "listing_id")).alias("monthly_rent"),
+        _between(*SINGLE_DEPOSIT, uniform(seed, "single deposit", "listing_id")).alias("security_deposit"),
+        F.lit(SINGLE_BEDS).alias("total_beds"), F.lit(SINGLE_BEDS).alias("available_beds"),
+        F.lit(NOTICE_DAYS).alias("notice_period_days"),
     )
     return double.unionByName(single)
 

@@ -40,12 +40,21 @@ def inquiries_on_listings(inquiries: DataFrame, listings: DataFrame) -> DataFram
     return per_listing.join(titles, "listing_id")
 
 
-def inquiry_summary(inquiries: DataFrame, listings: DataFrame) -> DataFrame:
-    """Each owner's most recently asked listings, at most 100, without identities."""
+def inquiry_summary(
+    inquiries: DataFrame, listings: DataFrame, n: int | None = INQUIRY_SUMMARY_CAP
+) -> DataFrame:
+    """Each owner's ``n`` most recently asked listings, without identities.
+
+    With ``n`` None all of them, sorted by owner and time and without a position.
+    """
     summary = inquiries_on_listings(inquiries, listings)
+    if n is None:
+        return summary.orderBy("owner_id", *newest_first("last_inquiry_at", "listing_id")).select(
+            "owner_id", "listing_id", "listing_title", "unique_inquirers", "last_inquiry_at"
+        )
     return top_per_group(
         summary, ["owner_id"], newest_first("last_inquiry_at", "listing_id"),
-        INQUIRY_SUMMARY_CAP, "position",
+        n, "position",
     ).select(
         "owner_id", "position", "listing_id", "listing_title", "unique_inquirers", "last_inquiry_at"
     )

@@ -17,7 +17,7 @@ from staygrid.operators.filters import (
     rating_display,
     rent_filter,
 )
-from staygrid.operators.paging import has_deep_pages, page, page_per_request
+from staygrid.operators.paging import page, page_per_request
 from staygrid.operators.quality import accepted, validate_requests
 from staygrid.operators.spatial import in_box, radius_join
 
@@ -104,7 +104,7 @@ def geo_search(
     """
     valid = accepted(validate_requests(requests))
     matches = search_matches(valid, listings, rooms, metric)
-    rows = page_per_request(matches, has_deep_pages(valid))
+    rows = page_per_request(matches, valid.select("request_id", "user_id", "page", "size"))
     found = rows.join(listing_cards(listings, rooms, photos), "listing_id")
     return with_favorite_flag(found, favorites).select(
         "request_id", "position", "page", "total", "listing_id", *CARD, "min_rent",

@@ -103,7 +103,7 @@ DEFAULTS: dict[tuple[str, str], object] = {
     ("inquiries", "status"): "PENDING",
 }
 
-# (table, key columns, is_primary): a primary key may not be NULL, a unique key may.
+# Fixed values: (table, key columns, is_primary); a primary key may not be NULL, a unique key may.
 KEYS: tuple[tuple[str, tuple[str, ...], bool], ...] = (
     ("users", ("id",), True),
     ("users", ("firebase_uid",), False),
@@ -121,7 +121,7 @@ KEYS: tuple[tuple[str, tuple[str, ...], bool], ...] = (
     ("inquiries", ("tenant_id", "listing_id"), False),
 )
 
-# (child table, child column, parent table, deleting the parent removes the child)
+# Fixed values: (child table, child column, parent table, deleting the parent removes the child)
 FOREIGN_KEYS: tuple[tuple[str, str, str, bool], ...] = (
     ("listings", "owner_id", "users", True),
     ("room_options", "listing_id", "listings", True),
@@ -136,6 +136,7 @@ FOREIGN_KEYS: tuple[tuple[str, str, str, bool], ...] = (
     ("inquiries", "tenant_id", "users", False),
 )
 
+# Columns that must have a value.
 NOT_NULL: dict[str, tuple[str, ...]] = {
     "users": ("firebase_uid", "phone", "role"),
     "listings": ("owner_id", "title", "address_line", "locality", "city", "lat", "lng"),
@@ -162,5 +163,6 @@ PHOTO_EXTENSIONS = ("jpg", "jpeg", "png", "webp")
 MAX_COMMENT_LENGTH = 1000
 MIN_AGE_YEARS = 18
 
+# What is shown for a missing category.
 DISPLAY_DEFAULTS = {"gender_preference": "COED", "pg_type": "PG", "food_type": "BOTH"}
 DEFAULT_SHARING = "DOUBLE"

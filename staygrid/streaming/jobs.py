@@ -2,14 +2,17 @@
 
 Each job appends what a micro-batch adds to a log of epoch folders and leaves the
 fold to the reader: writing costs as much as the batch, not as the state, and
-replaying a batch after a failure overwrites its own folder. ``compact`` folds old
-epochs into one published version, so the log stays about as small as the state.
+replaying a batch after a failure overwrites its own folder. An epoch counts once
+its folder is complete (Spark's success marker). ``compact`` folds the complete
+epochs into one published version and removes those an earlier version already
+holds, so the log stays about as small as the state. No job keeps a state store.
 Order is event time, never arrival, so late events land where they belong.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce as reduce_frames
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from staygrid.operators.folds import (
     fold_users,
 )
 from staygrid.plans.reports import inquiry_summary
-from staygrid.sources.sinks import read_snapshot, versions, write_snapshot
+from staygrid.sources.sinks import names_under, read_snapshot, remove, versions, write_snapshot
 
 Reduce = Callable[[DataFrame], DataFrame]
 
@@ -50,23 +53,44 @@ def log_stream(stream: DataFrame, path: str, reduce: Reduce) -> StreamingQuery:
     )
 
 
+def finished_epochs(spark: SparkSession, path: str) -> list[int]:
+    """Epochs whose folder is complete, in order; the one being written is not."""
+    return sorted(
+        int(name.split("=")[1]) for name in names_under(spark, f"{path}/log/epoch=*")
+        if names_under(spark, f"{path}/log/{name}/_SUCCESS")
+    )
+
+
+def _compacted_to(spark: SparkSession, path: str, version: int) -> int:
+    return read_snapshot(spark, f"{path}/base", "upto", version).first()["epoch"]
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """All events that can still matter: the compacted base and the epochs after it."""
-    log = spark.read.parquet(f"{path}/log")
-    base = f"{path}/base"
-    if not versions(spark, base):
-        return log.drop("epoch")
-    upto = read_snapshot(spark, base, "upto").first()["epoch"]
-    later = log.where(F.col("epoch") > upto).drop("epoch")
-    return read_snapshot(spark, base, "log").unionByName(later)
+    """All rows that can still matter: the compacted base and the epochs after it."""
+    published = versions(spark, f"{path}/base")
+    upto = _compacted_to(spark, path, published[-1]) if published else -1
+    later = [f"{path}/log/epoch={e}" for e in finished_epochs(spark, path) if e > upto]
+    parts = [read_snapshot(spark, f"{path}/base", "log", published[-1])] if published else []
+    if later or not parts:
+        parts.append(spark.read.option("basePath", f"{path}/log").parquet(*later).drop("epoch"))
+    return reduce_frames(DataFrame.unionByName, parts)
 
 
 def compact(spark: SparkSession, path: str, reduce: Reduce) -> int:
-    """Publish base and finished epochs as one new version; returns its number."""
-    newest = spark.read.parquet(f"{path}/log").agg(F.max("epoch").alias("epoch"))
-    return write_snapshot(
-        {"log": reduce(read_log(spark, path)), "upto": newest}, f"{path}/base"
-    )
+    """Publish base and complete epochs as one new version; returns its number.
+
+    The epochs are listed once, before anything is read. Those the version before held
+    already are removed afterwards; a reader that has just begun still finds its own.
+    """
+    published = versions(spark, f"{path}/base")
+    before = _compacted_to(spark, path, published[-1]) if published else -1
+    epochs = finished_epochs(spark, path)
+    upto = spark.createDataFrame([(max([before, *epochs]),)], "epoch long")
+    number = write_snapshot({"log": reduce(read_log(spark, path)), "upto": upto}, f"{path}/base")
+    for epoch in epochs:
+        if epoch <= before:
+            remove(spark, f"{path}/log/epoch={epoch}")
+    return number
 
 
 # --- what each fold has to remember ------------------------------------------
@@ -128,24 +152,27 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
     return fold_users(read_log(spark, path))
 
 
+def first_and_last(rows: DataFrame) -> DataFrame:
+    """First and latest attempt per (tenant, listing); applies to its own result again."""
+    return rows.groupBy("tenant_id", "listing_id").agg(
+        F.min("created_at").alias("created_at"), F.max("last_attempt_at").alias("last_attempt_at")
+    )
+
+
 def stream_inquiries(events: DataFrame, path: str) -> StreamingQuery:
-    """First and latest attempt per (tenant, listing) in Spark's own state store.
+    """First and latest attempt per (tenant, listing).
 
-    Each trigger emits the keys it changed; minimum and maximum commute, so the
-    emitted rows can be combined in any order.
+    Minimum and maximum commute, so each micro-batch is reduced by itself and the rows
+    can be combined in any order; no state is kept.
     """
-    state = events.groupBy("tenant_id", "listing_id").agg(
-        F.min("ts").alias("created_at"), F.max("ts").alias("last_attempt_at")
-    )
-    return _start(
-        state, path, lambda batch, epoch: _append_epoch(batch, path, epoch), "update"
+    timed = events.select(
+        "tenant_id", "listing_id", F.col("ts").alias("created_at"), F.col("ts").alias("last_attempt_at")
     )
+    return log_stream(timed, path, first_and_last)
 
 
 def read_inquiries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/log").groupBy("tenant_id", "listing_id").agg(
-        F.min("created_at").alias("created_at"), F.max("last_attempt_at").alias("last_attempt_at")
-    )
+    return first_and_last(read_log(spark, path))
 
 
 def read_inquiry_summary(spark: SparkSession, path: str, listings: DataFrame) -> DataFrame:
@@ -153,15 +180,27 @@ def read_inquiry_summary(spark: SparkSession, path: str, listings: DataFrame) ->
     return inquiry_summary(read_inquiries(spark, path), listings)
 
 
+# Reviews of the rating job lie in this many folders per epoch, by listing, so that a
+# micro-batch reads the folders of the listings it touches.
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("listing_id"), F.lit(BUCKETS)).cast("int"))
+
+
 def stream_ratings(events: DataFrame, path: str) -> StreamingQuery:
     """Reviews as above, and after each micro-batch the ratings of the listings it
     touched, as one more epoch of a rating log."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        _append_epoch(retain_reviews(batch), path, epoch)
-        touched = batch.select("listing_id").distinct()
-        reviews = fold_reviews(read_log(spark, path).join(touched, "listing_id", "left_semi"))
+        kept = _bucketed(retain_reviews(batch))
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/log/epoch={epoch}")
+        touched = _bucketed(batch.select("listing_id").distinct())
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
+        log = read_log(spark, path).where(F.col("bucket").isin(*buckets)).drop("bucket")
+        reviews = fold_reviews(log.join(touched.select("listing_id"), "listing_id", "left_semi"))
         rated = touched.join(listing_ratings(reviews), "listing_id", "left").select(
             "listing_id",
             F.coalesce("avg_rating", F.lit(0).cast("decimal(2,1)")).alias("avg_rating"),

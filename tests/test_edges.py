@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from staygrid.functions.dates import age_years
 from staygrid.functions.geo import haversine_m, with_geodesic_m, with_point
 from staygrid.functions.ratings import rating_of
-from staygrid.functions.text import default_phone, file_ext, int_or_null, sanitize, utf16_length, valid_id_shape
+from staygrid.functions.text import default_phone, double_or_null, file_ext, int_or_null, sanitize, utf16_length, valid_id_shape
 from staygrid.operators import filters, folds, quality
 from staygrid.operators.enrich import cover_photo, listing_ratings
 from staygrid.plans.documents import listing_documents
@@ -37,11 +37,11 @@ def test_age(spark, dob, as_of, years):
 @pytest.mark.parametrize(
     "ratings, mean",
     [
-        ([5] * 8 + [4] * 5 + [3], "4.5"),
-        ([5] * 4 + [4] * 6 + [3] * 2, "4.2"),
-        ([5] * 7 + [4] * 3, "4.7"),
-        ([5, 4, 4, 4, 3, 3, 3, 2], "3.5"),
-        ([2] * 6 + [1] * 5, "1.6"),
+        ([4], "4.0"),
+        ([1, 2], "1.5"),
+        ([3, 3, 4, 5, 5, 5, 5], "4.3"),
+        ([1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 4], "1.3"),
+        ([2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 3], "2.1"),
         ([], "0.0"),
     ],
 )
@@ -99,6 +99,51 @@ def test_integer_parameters(spark, raw, value):
     assert spark.createDataFrame([(raw,)], "v string").select(int_or_null("v").alias("v")).first()["v"] == value
 
 
+@pytest.mark.parametrize(
+    "raw, value",
+    [(" 12.9", 12.9), ("2.5f", 2.5), ("2.5D\t", 2.5), ("-.5e1", -5.0), ("1.", 1.0), ("Infinity", float("inf")),
+     ("-Infinity", float("-inf")), ("2,5", None), ("inf", None), ("nan", None), ("1 2", None), ("0x1p3", None),
+     ("", None), (" ", None), ("f", None), (None, None)],
+)
+def test_decimal_parameters(spark, raw, value):
+    assert spark.createDataFrame([(raw,)], "v string").select(double_or_null("v").alias("v")).first()["v"] == value
+
+
+def test_repeated_uploads_are_judged_once_each(spark):
+    rows = [("a", 1, "k", "image/png", "x.png", 1)] * 2 + [("a", 2, "m", "text/plain", "x.png", 1)] + [
+        ("a", 3, f"n{i}", "image/png", "x.jpg", 1) for i in range(3)]
+    meta = spark.createDataFrame(
+        rows, "listing_id string, uploaded_at long, upload_key string, content_type string, file_name string, size_bytes long")
+    counts = spark.createDataFrame([("a", 2)], "listing_id string, photo_count int")
+    got = [(r["upload_key"], r["display_order"], r["reason"]) for r in quality.validate_photos(meta, counts).collect()]
+    assert sorted(got, key=str) == sorted(
+        [("k", 2, None), ("k", 3, None), ("m", None, "content type"), ("n0", 4, None), ("n1", 5, None),
+         ("n2", None, "too many photos")], key=str)
+
+
+def test_insert_absent_keeps_the_first_by_order(spark):
+    new = spark.createDataFrame([(1, 5, "b"), (1, 3, "z"), (2, 1, "q"), (3, 9, "y"), (3, 9, "x")], "k int, at int, v string")
+    there = spark.createDataFrame([(2,)], "k int")
+    got = folds.insert_absent(new, there, ["k"], ["at"]).collect()
+    assert sorted(map(tuple, got)) == [(1, 3, "z"), (3, 9, "x")]
+
+
+def test_late_review_keeps_id_and_moderation(spark):
+    day = dt.datetime(2024, 2, 1)
+    prior = spark.createDataFrame(
+        [(100, 1, 2, 4, "old", None, None, True, day)],
+        "id long, user_id long, listing_id long, rating int, comment string, stayed_from date, stayed_until date, "
+        "is_flagged boolean, created_at timestamp")
+    schema = "event_id long, ts timestamp, user_id long, listing_id long, op string, rating int, comment string"
+    late = spark.createDataFrame([(5, day - dt.timedelta(17), 1, 2, "upsert", 1, "late")], schema)
+    row = folds.fold_reviews(late, prior).first()
+    assert (row["id"], row["is_flagged"], row["rating"], row["comment"], row["created_at"]) == (100, True, 4, "old", day)
+    reset = late.unionByName(spark.createDataFrame(
+        [(6, day + dt.timedelta(1), 1, 2, "delete", None, None), (7, day + dt.timedelta(2), 1, 2, "upsert", 3, "new")], schema))
+    row = folds.fold_reviews(reset, prior).first()
+    assert (row["id"], row["is_flagged"], row["rating"]) == (7, False, 3)
+
+
 def test_registration_reasons(spark):
     rows = [
         ("2023-02-30", "dob not a date"), ("2023-2-03", "dob format"), ("x2023-02-03", "dob format"),
@@ -228,7 +273,8 @@ def test_load_tables_fills_defaults_and_lowers_ids(spark, tmp_path):
 def test_jdbc_slices_cover_every_key():
     options = jdbc_options("listings", "jdbc:postgresql://host/db", slices=16)
     assert "ST_Y(location::geometry) as lat" in options["table"]
-    keys = [f"{i:02x}" + "0" * 30 for i in range(256)]
+    assert not any("::text" in p for p in options["predicates"])
+    keys = [f"{i:02x}abcdef-0000-4000-8000-000000000000" for i in range(256)]
 
     def holds(predicate, key):
         return all(

@@ -16,11 +16,20 @@ def test_top_n_is_pruned_before_the_shuffle(spark):
     for df in (
         recent_reviews(f.reviews, f.users),
         reports.inquiry_summary(f.inquiries, f.listings),
-        search.geo_search(f.requests, f.listings, f.rooms, f.photos, f.favorites),
     ):
         assert "WindowGroupLimit" in plan(df) and "Partial" in plan(df)
 
 
+def test_batch_search_measures_each_pair_once(spark):
+    """Rank and total stand above one shuffle of the matches: one distance chain runs."""
+    f = Fixtures(spark, SF_DIR)
+    df = search.geo_search(f.requests, f.listings, f.rooms, f.photos, f.favorites)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Three arc tangents of two arguments in one chain with two passes.
+    assert final.upper().count("ATAN2(") == 3
+
+
 def test_point_search_pushes_the_box_down(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     f = Fixtures(spark, SF_DIR)
