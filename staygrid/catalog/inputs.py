@@ -34,6 +34,13 @@ select request_id,
 from search_requests_v
 """
 
+FAR_PAIRS = """
+select c_custkey as id, cast((c_custkey * 37) % 1700 as double) / 10 - 85 as req_lat,
+  cast((c_custkey * 53) % 1000 as double) / 10 - 90 as req_lng, cast((c_custkey * 91) % 1700 as double) / 10 - 85 as lat,
+  cast((c_custkey * 53) % 1000 as double) / 10 - 90 + cast((c_custkey * 17) % 1500 as double) / 10 as lng
+from customer
+"""
+
 EDGE_REQUESTS = """
 select request_id, case when request_id % 7 = 0 then null else lat end as lat,
   case when request_id % 11 = 0 then null when request_id % 12 = 0 then 120.5 else lng end as lng,

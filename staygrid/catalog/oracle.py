@@ -376,6 +376,10 @@ ORACLE: dict[str, str] = {
         "from search_requests_v q join listings_v l on l.id = q.request_id",
         **geodesic("cand", "id"),
     ),
+    "geodesic_far": compose(
+        "select id, round(distance_m, 3) as distance_m from geo",
+        cand=inputs.FAR_PAIRS, **geodesic("cand", "id", 20),
+    ),
     "normalise_requests": compose(
         """select request_id, case when lat <> 'north' then cast(lat as double) end as lat,
   cast(trim(lng) as double) as lng,

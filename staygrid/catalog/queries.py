@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from staygrid.catalog import inputs
 from staygrid.catalog.fixtures import Fixtures, interactions
-from staygrid.functions.geo import with_geodesic_m, with_point
+from staygrid.functions.geo import VINCENTY_PASSES, with_geodesic_m, with_point
 from staygrid.operators import enrich, filters, folds, gates, quality, spatial
 from staygrid.operators.paging import newest_first, page_per_request
 from staygrid.operators.skew import with_group_number
@@ -115,7 +115,15 @@ def geodesic_distance(f):
     pairs = f.requests.select(
         F.col("request_id").alias("id"), F.col("lat").alias("req_lat"), F.col("lng").alias("req_lng")
     ).join(f.listings.select("id", "lat", "lng"), "id")
-    return with_geodesic_m(pairs, "req_lat", "req_lng", "lat", "lng").select("id", "distance_m")
+    return with_geodesic_m(
+        pairs, "req_lat", "req_lng", "lat", "lng", passes=VINCENTY_PASSES
+    ).select("id", "distance_m")
+
+
+@query
+def geodesic_far(f):
+    """Pairs over the whole globe, up to 150 degrees of longitude apart."""
+    return with_geodesic_m(f.sql(inputs.FAR_PAIRS), "req_lat", "req_lng", "lat", "lng").select("id", "distance_m")
 
 
 @query

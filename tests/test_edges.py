@@ -182,11 +182,22 @@ def test_few_passes_are_enough(spark):
         (8 + F.col("id") * 37 % 2900 / 100).alias("a"), (68 + F.col("id") * 53 % 3000 / 100).alias("b"),
         (8 + F.col("id") * 91 % 2900 / 100).alias("c"), (68 + F.col("id") * 17 % 3000 / 100).alias("d"),
     )
-    quick = with_geodesic_m(pairs, "a", "b", "c", "d", "quick")
+    quick = with_geodesic_m(pairs, "a", "b", "c", "d", "quick", passes=2)
     both = with_geodesic_m(quick, "a", "b", "c", "d", "slow", passes=8)
     assert both.agg(F.max(F.abs(F.col("quick") - F.col("slow")))).first()[0] < 1e-5
 
 
+@pytest.mark.parametrize(
+    "pair, metres",
+    [((12.9, 77.6, -12.8, -102.2), 19955337.092), ((0.0, 0.0, 0.5, 179.0), 19902751.033),
+     ((12.9, 77.6, -12.0, -100.0), 19751639.669), ((-33.9, 18.4, 40.7, -74.0), 12547900.196)],
+)
+def test_far_pairs_settle(spark, pair, metres):
+    """The lengths are those of 400 plain passes of the formula."""
+    points = spark.createDataFrame([pair], "a double, b double, c double, d double")
+    assert with_geodesic_m(points, "a", "b", "c", "d").first()["distance_m"] == pytest.approx(metres, abs=2e-3)
+
+
 def test_missing_coordinates_have_no_distance(spark):
     pairs = spark.createDataFrame([(None, 77.0, 12.0, 77.0), (12.0, 77.0, 12.0, None)], "a double, b double, c double, d double")
     assert [r[0] for r in with_geodesic_m(pairs, "a", "b", "c", "d").select("distance_m").collect()] == [None, None]
