@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +134,12 @@ def search_point(
     metric: str = "spheroid",
 ) -> DataFrame:
     """One search request. Box, status and categories reach the parquet scan; only
-    the page (at most 50 rows) is enriched."""
+    the page (at most 50 rows) is enriched.
+
+    The page is planned once: it is sent to one union of what may be shown with it (the
+    listings' own ids, rents, photos, the user's favourites), and one aggregate per
+    listing brings the four together.
+    """
     matches = point_matches(
         listings, rooms, lat, lng, radius_km, min_rent_asked, max_rent_asked,
         gender, food, pg_type, metric,
@@ -140,19 +147,25 @@ def search_point(
     size = max(1, min(50, size))
     rows = page(matches, [F.col("distance_m"), F.col("id")], page_number, size)
     rows = rows.withColumnRenamed("id", "listing_id")
-    # A page has at most 50 rows, so it can be sent to the big tables.
-    wanted = F.broadcast(rows.select("listing_id"))
-    rents = min_rent(rooms.join(wanted, "listing_id", "left_semi"))
-    covers = cover_photo(photos.join(wanted, "listing_id", "left_semi"))
-    mine = favorites.where(F.col("user_id") == F.lit(user_id)).join(wanted, "listing_id", "left_semi")
     shown = rating_display(display_defaults(rows.select("listing_id", *CARD, "distance_m")))
-    return (
-        shown.join(rents, "listing_id", "left")
-        .join(covers, "listing_id", "left")
-        .withColumn("user_id", F.lit(user_id))
-        .transform(with_favorite_flag, mine)
-        .drop("user_id")
-        .orderBy("distance_m", "listing_id")
+    parts = [
+        listings.select(F.col("id").alias("listing_id")),
+        rooms.select("listing_id", F.col("monthly_rent").alias("_rent")),
+        photos.select(
+            "listing_id",
+            F.struct(F.col("display_order").isNull().alias("unset"), "display_order", "id", "thumbnail_url").alias("_photo"),
+        ),
+        favorites.where(F.col("user_id") == F.lit(user_id)).select("listing_id", F.lit(True).alias("_favorite")),
+    ]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # A page has at most 50 rows, so it can be sent to the big tables.
+    joined = union.join(F.broadcast(shown), "listing_id")
+    grouped = joined.groupBy(*shown.columns).agg(
+        F.min("_rent").alias("min_rent"), F.min("_photo")["thumbnail_url"].alias("cover_photo"),
+        F.coalesce(F.max("_favorite"), F.lit(False)).alias("is_favorite"),
+    )
+    return grouped.orderBy("distance_m", "listing_id").select(
+        "listing_id", *CARD, "distance_m", "min_rent", "cover_photo", "is_favorite"
     )
 
 
