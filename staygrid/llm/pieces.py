@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ class Lattice(NamedTuple):
 
     source: np.ndarray  # node an edge comes from
     piece: np.ndarray  # its piece, or -1 - character for one spelt in bytes
-    reach: np.ndarray  # rank of the end node + share of its segmentations up to this edge
-    rank: np.ndarray  # of each node: its place in ``reach``
+    reach: np.ndarray  # share of the end node's segmentations up to and with this edge
+    entry: np.ndarray  # first edge into each node
     first: np.ndarray  # first and last node of each unit
     last: np.ndarray
 
@@ -85,12 +86,37 @@ class Pieces:
                 node = child.setdefault(key, len(child) + 1)
                 ends.setdefault(node, -1)
             ends[node] = k
-        keys = np.fromiter(child.keys(), np.int64, len(child))
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.nodes = np.fromiter(child.values(), np.int64, len(child))[order]
+        self.fill(np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int64, len(child)))
         self.ends = np.fromiter((ends[k] for k in range(len(child) + 1)), np.int64, len(child) + 1)
 
+    def fill(self, keys: np.ndarray, nodes: np.ndarray) -> None:
+        """Hash table from (node, character) to the next node, an eighth full; -1 is free."""
+        bits = max(4, (8 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot_key, self.slot_node = np.full(1 << bits, -1), np.full(1 << bits, -1)
+        slots = self.slots(keys)
+        for key, node, slot in zip(keys.tolist(), nodes.tolist(), slots.tolist(), strict=True):
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) % len(self.slot_key)
+            self.slot_key[slot], self.slot_node[slot] = key, node
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * MIX_1) >> self.shift).astype(np.int64)
+
+    def step(self, keys: np.ndarray) -> np.ndarray:
+        """The node each (node, character) leads to, -1 if the trie has no such edge."""
+        slot = self.slots(keys)
+        held = self.slot_key[slot]
+        found = np.where(held == keys, self.slot_node[slot], -1)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.slot_key)
+            held = self.slot_key[slot[open_]]
+            hit = held == keys[open_]
+            found[open_[hit]] = self.slot_node[slot[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return found
+
     def lattice(self, units: list[str]) -> Lattice:
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         start = np.cumsum(sizes) - sizes
@@ -106,10 +132,9 @@ class Pieces:
         node = np.zeros(len(place), np.int64)
         single = np.zeros(n, bool)
         while len(place):
-            key = node * self.width + number[place + length]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            place, node = place[known], self.nodes[at[known]]
+            node = self.step(node * self.width + number[place + length])
+            known = node >= 0
+            place, node = place[known], node[known]
             length += 1
             piece = self.ends[node]
             ending = piece >= 0
@@ -135,7 +160,8 @@ class Pieces:
         from_node = source + unit[source]
         to_node = from_node + length
         depth = source - start[unit[source]] + length
-        order = np.lexsort((piece, to_node, depth))
+        # One key in place of three: no two edges into a node have the same length.
+        order = np.argsort((depth * (n + len(units)) + to_node) * (int(length.max(initial=0)) + 1) + length)
         from_node, to_node, piece, weight, depth = (x[order] for x in (from_node, to_node, piece, weight, depth))
         head = np.ones(len(order), bool)
         head[1:] = to_node[1:] != to_node[:-1]
@@ -158,10 +184,10 @@ class Pieces:
         running = np.cumsum(share)
         running -= np.concatenate([[0.0], running])[heads][group]
         running[np.append(heads[1:], len(order)) - 1] = 1.0
-        rank = np.full(n + len(units), -1, np.int64)
-        rank[to_node[heads]] = np.arange(len(heads))
+        entry = np.full(n + len(units), -1, np.int64)
+        entry[to_node[heads]] = heads
         first = start + np.arange(len(units))
-        return Lattice(from_node, piece, group + np.minimum(running, 1.0), rank, first, first + sizes)
+        return Lattice(from_node, piece, running, entry, first, first + sizes)
 
     def sample(self, lattice: Lattice, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of one segmentation for each (unit, key), back to back, and their counts.
@@ -175,9 +201,12 @@ class Pieces:
         while len(active):
             step += 1
             draw = (mixed(key[active] + np.full(1, step, np.uint64) * MIX_2) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            rank = lattice.rank[node[active]]
-            edge = np.searchsorted(lattice.reach, rank + draw, "right")
-            edge = np.minimum(edge, len(lattice.reach) - 1)
+            edge = lattice.entry[node[active]]
+            # On to the edge whose share the draw falls in; the last one reaches 1.
+            beyond = np.flatnonzero(draw >= lattice.reach[edge])
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[draw[beyond] >= lattice.reach[edge[beyond]]]
             owners.append(active)
             edges.append(edge)
             node[active] = lattice.source[edge]
@@ -217,13 +246,21 @@ class Pieces:
         return out
 
     def encode_together(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-        known: dict[str, int] = {}
+        # Blanks in a row belong to one unit; else every blank starts one.
+        spaced = [bool(t) and (t[0] == " " or "  " in t) for t in texts]
+        plain = pc.split_pattern(pa.array(["" if s else t for s, t in zip(spaced, texts, strict=True)]), " ")
+        split = [UNIT.findall(" " + t) if s else [] for s, t in zip(spaced, texts, strict=True)]
+        counts = np.where(spaced, np.fromiter(map(len, split), np.int64, len(texts)), plain.value_lengths())
+        counts[[not t for t in texts]] = 0
+        coded = plain.flatten().dictionary_encode()
+        known = {" " + u: k for k, u in enumerate(coded.dictionary.to_pylist())}
+        owner = np.repeat(np.arange(len(texts)), plain.value_lengths())
+        skip = np.array([s or not t for s, t in zip(spaced, texts, strict=True)])
+        unit = np.empty(int(counts.sum()), np.int64)
+        fast = np.repeat(~skip, counts)
+        unit[fast] = coded.indices.to_numpy(zero_copy_only=False)[~skip[owner]]
         number = known.setdefault
-        split = [UNIT.findall(" " + t) if t else [] for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        unit = np.fromiter(
-            (number(u, len(known)) for units in split for u in units), np.int64, int(counts.sum())
-        )
+        unit[~fast] = [number(u, len(known)) for units in split for u in units]
         if not len(unit):
             return [np.zeros(0, np.int64) for _ in texts]
         place = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
