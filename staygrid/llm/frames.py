@@ -62,3 +62,20 @@ def map_batches(
 def batch_of(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
+
+def least_by(df: DataFrame, turn: str, n: int) -> DataFrame:
+    """The ``n`` rows with the least hash in the column ``turn``; all columns break ties.
+
+    The rows are counted by the leading 16 bits of the hash first (at most 65,536 rows
+    come to the driver), so that only rows up to the cut are sorted, about ``n`` however
+    many there are. Runs a job.
+    """
+    leading = F.shiftright(F.col(turn), 48)
+    counts = df.groupBy(leading.alias("leading")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    held = 0
+    for leading_bits, rows in sorted(map(tuple, counts)):
+        held += rows
+        if held >= n:
+            df = df.where(leading <= leading_bits)
+            break
+    return df.orderBy(turn, *[c for c in df.columns if c != turn]).limit(n)

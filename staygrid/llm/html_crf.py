@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staygrid.llm.frames import batch_of, map_batches, ready
+from staygrid.llm.frames import batch_of, least_by, map_batches, ready
 
 # Element kinds of HTML.
 INLINE = frozenset(
@@ -330,7 +330,7 @@ def train(pages: DataFrame, table_pages: int = TABLE_PAGES, layout_pages: int =
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
     marked = pages.select(source.alias("html"), F.xxhash64("url", "html").alias("turn"))
     # First the hashes alone, so that no text is sorted.
-    least = marked.select("turn").distinct().orderBy("turn").limit(table_pages)
+    least = least_by(marked.select("turn").distinct(), "turn", table_pages)
     chosen = marked.join(F.broadcast(least), "turn").dropDuplicates(["turn"])
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

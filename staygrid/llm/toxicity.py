@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from staygrid.llm.frames import batch_of, id_and_text, map_batches, ready, text_of
+from staygrid.llm.frames import batch_of, id_and_text, least_by, map_batches, ready, text_of
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER_CLASS)
 
     Rows without an id or a label of 0 or 1 are left aside. An id with several labels
     counts as toxic if one of them says so. Which texts are taken depends on the hash of
-    their ids only. Runs two jobs; the sets of at most ``2 * per_class`` texts come to
+    their ids only. Runs a few jobs; the sets of at most ``2 * per_class`` texts come to
     the driver.
     """
     marked = (
@@ -151,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER_CLASS)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .withColumn("turn", F.xxhash64("doc_id"))
     )
-    chosen = marked.where("toxic = 1").orderBy("turn", "doc_id").limit(per_class).unionByName(
-        marked.where("toxic = 0").orderBy("turn", "doc_id").limit(per_class)
+    chosen = least_by(marked.where("toxic = 1"), "turn", per_class).unionByName(
+        least_by(marked.where("toxic = 0"), "turn", per_class)
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staygrid.llm.frames import least_by
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Rules become one expression, so there may be at most this many.
 MOST_RULES = 1000
@@ -144,8 +146,8 @@ def train(labelled: DataFrame, per_label: int = URLS_PER_LABEL) -> UrlModel:
         .groupBy("url").agg(F.max("label").cast("double").alias("label"))
         .withColumn("turn", F.xxhash64("url"))
     )
-    taken = rows.where("label = 1").orderBy("turn", "url").limit(per_label).unionByName(
-        rows.where("label = 0").orderBy("turn", "url").limit(per_label)
+    taken = least_by(rows.where("label = 1"), "turn", per_label).unionByName(
+        least_by(rows.where("label = 0"), "turn", per_label)
     ).drop("turn")
     featured = with_features(taken).persist()
     try:
