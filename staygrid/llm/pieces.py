@@ -33,7 +33,7 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 RANK_OFFSET = 100
 SEED = 1
-TEXT_TOGETHER = 1 << 20
+TEXT_TOGETHER = 1 << 19
 UNIT = re.compile(" *[^ ]+| +")
 MAX_CODE = 0x110000
 
