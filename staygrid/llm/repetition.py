@@ -30,10 +30,11 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
 
 # Limits of the method: repeats of at least this many words count; a document may have
-# this share of its words in them, and no repeat may be longer than this.
+# this share of its words in them, and no repeat may be longer than this. Words in such
+# repeats count for the base rule too, so only a share below its half can decide anything.
 MIN_REPEAT = 8
-MAX_COVERED = 0.5
-MAX_LONGEST = 200
+MAX_COVERED = 0.25
+MAX_LONGEST = 100
 
 # Documents are sorted together up to this many words; a longer one is sorted alone.
 WORDS_TOGETHER = 60_000

@@ -102,3 +102,18 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
     assert repetition.keep_clean(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(
+    "passage,n,kept",
+    [(190, 800, False), (60, 400, False), (120, 1200, False), (40, 400, True), (0, 400, True)],
+)
+def test_each_limit_rejects_what_the_base_rules_pass(passage, n, kept):
+    words = [f"w{k}" for k in range(n - passage)]
+    found = measure([" ".join([*words, *words[:passage]])], Limits())[0]
+    assert not found["base_failed"] and found["kept"] == kept
+    assert found["longest_repeat"] == passage and found["covered_words"] == 2 * passage
+    # (190, 800) breaks both limits, (60, 400) the share alone, (120, 1200) the length alone.
+    assert (2 * passage > 0.25 * n, passage > 100) == {
+        190: (True, True), 60: (True, False), 120: (False, True), 40: (False, False), 0: (False, False),
+    }[passage]
