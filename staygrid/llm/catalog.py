@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as named queries over the test tables."""
+"""The operators and the pipeline as named queries over the test tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staygrid.llm import (
-    html_crf, lengths, licenses, ordermin, packing, pieces, repetition, simhash, toxicity, urls,
+    alignment, html_crf, lengths, licenses, ordermin, packing, pieces, repetition, simhash, toxicity,
+    urls,
 )
 from staygrid.llm.frames import read_table
 
@@ -76,11 +77,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measured(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_packing, op2_token_counts, op3_license_scans, op4_quality_rules, op5_simhash,
         op6_url_filters, op7_html_extraction, op8_sentencepiece, op9_fingerprints, op10_toxicity,
+        op11_alignment,
     )
 }
 

@@ -1,8 +1,10 @@
 """Byte-pair ids of whole texts.
 
 Ids are those of the ``tokenizers`` file. The rank file holds the same vocabulary for a
-library that encodes several times faster, so it does the work; a text that spells out
-the special token, which only the ``tokenizers`` file knows, is encoded by that.
+library that encodes several times faster, so it does the work. The ``tokenizers`` file
+encodes a text that spells out the special token, which only that file knows, and a text
+whose runs of white space are too long for the other library's pattern (about 500,000
+characters); ids are the same either way.
 """
 
 from __future__ import annotations
@@ -30,22 +32,28 @@ class BytePairs:
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.tokenizer_path = tokenizer_path
-        self.reference = None
+        self.reference: dict[bool, object] = {}
 
-    def with_special(self, text: str) -> np.ndarray:
+    def by_file(self, text: str, special_as_text: bool) -> np.ndarray:
         from tokenizers import Tokenizer
 
-        if self.reference is None:
-            self.reference = Tokenizer.from_file(self.tokenizer_path)
-        return np.array(self.reference.encode(text, add_special_tokens=False).ids, np.uint32)
+        if special_as_text not in self.reference:
+            self.reference[special_as_text] = Tokenizer.from_file(self.tokenizer_path)
+            self.reference[special_as_text].encode_special_tokens = special_as_text
+        return np.array(self.reference[special_as_text].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode_text(self, text: str, special_as_text: bool = False) -> np.ndarray:
+        """Ids of one text; the special token's string is its id unless taken as text."""
+        if SPECIAL in text and not special_as_text:
+            return self.by_file(text, False)
+        try:
+            return self.plain.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the pattern's stack is used up by a run of white space
+            return self.by_file(text, special_as_text)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (no nulls), in order."""
-        plain = self.plain.encode_to_numpy
-        return [
-            self.with_special(text) if SPECIAL in text else plain(text, disallowed_special=())
-            for text in texts.to_pylist()
-        ]
+        return [self.encode_text(text) for text in texts.to_pylist()]
 
 
 _worker: dict[tuple[str, str], BytePairs] = {}
