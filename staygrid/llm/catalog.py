@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staygrid.llm import (
-    alignment, html_crf, lengths, licenses, ordermin, packing, pieces, repetition, simhash, toxicity,
-    urls,
+    alignment, decontamination, html_crf, lengths, licenses, ordermin, packing, pieces, repetition, simhash,
+    toxicity, urls,
 )
 from staygrid.llm.frames import read_table
 
@@ -81,12 +81,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.measured(read_table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_packing, op2_token_counts, op3_license_scans, op4_quality_rules, op5_simhash,
         op6_url_filters, op7_html_extraction, op8_sentencepiece, op9_fingerprints, op10_toxicity,
-        op11_alignment,
+        op11_alignment, op12_decontamination,
     )
 }
 
