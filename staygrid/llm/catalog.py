@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staygrid.llm import (
-    alignment, decontamination, html_crf, lengths, licenses, ordermin, packing, pieces, repetition, simhash,
-    toxicity, urls,
+    alignment, conversations, decontamination, html_crf, lengths, licenses, ordermin, packing, pieces, repetition,
+    simhash, toxicity, urls,
 )
 from staygrid.llm.frames import read_table
 
@@ -85,12 +85,17 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversations.audit(damaged, damaged["dropped"])
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_packing, op2_token_counts, op3_license_scans, op4_quality_rules, op5_simhash,
         op6_url_filters, op7_html_extraction, op8_sentencepiece, op9_fingerprints, op10_toxicity,
-        op11_alignment, op12_decontamination,
+        op11_alignment, op12_decontamination, op13_conversations,
     )
 }
 

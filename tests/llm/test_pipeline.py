@@ -56,5 +56,5 @@ def test_stages_keep_the_columns_and_survive_odd_tables(spark, tmp_path):
 def test_registered_queries():
     names = set(__spark_entry__.queries())
     assert set(catalog.QUERIES) | {"pipeline"} <= names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
