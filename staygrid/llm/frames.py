@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staygrid.session import work_path
+
 # A batch handed to Python holds at most this many rows and about this many bytes, so
 # that a run of very long texts does not fill a worker's memory.
 ROWS_PER_BATCH = 1000
@@ -63,6 +65,26 @@ def batch_of(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+class Scratch:
+    """Tables of one run in the shared folder, removed when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` once and read it back; one table per label at a time."""
+        path = self.paths[label] = work_path(self.spark, label)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self, *labels: str) -> None:
+        """Remove tables, through the file system that holds them."""
+        for label in labels:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(label))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def least_by(df: DataFrame, turn: str, n: int) -> DataFrame:
     """The ``n`` rows with the least hash in the column ``turn``; all columns break ties.
 

@@ -1,7 +1,7 @@
 import numpy as np
 from samples import MESSY, SMALL, documents
+from test_jaccard import plain_classes
 from test_repetition import plain_measure
-from test_simhash import plain_classes, plain_print
 
 import __spark_entry__
 import corpus_pipeline
@@ -17,12 +17,11 @@ def plain_pipeline(rows, model):
         if 1 / (1 + np.exp(-raw)) < toxicity.THRESHOLD:
             clean.append((doc, text))
     kept = [(d, t) for d, t in clean if plain_measure(t, Limits())["kept"]]
-    prints = {d: plain_print(t) for d, t in kept}
-    classes = plain_classes(prints.values())
+    found = plain_classes([t for _, t in kept])
     least = {}
-    for d, p in prints.items():
-        least[classes[p]] = min(d, least.get(classes[p], d))
-    return {d: t for d, t in kept if least[classes[prints[d]]] == d}
+    for (d, _), c in zip(kept, found, strict=True):
+        least[c] = min(d, least.get(c, d))
+    return {d: t for (d, t), c in zip(kept, found, strict=True) if least[c] == d}
 
 
 def test_run_against_plain_stages(spark):
