@@ -5,6 +5,10 @@ go into dictionaries from end to index; the intersection of the two key sets, so
 both lists into groups that cover the same bytes. All tokens of a group are linked across
 the lists.
 
+Neither list has a token across a blank between two characters that are not white space: A
+cuts its words there, and no piece of B goes on after a blank that follows a character. So
+a text is aligned word by word, and a worker aligns a word it has seen once only.
+
 An id pair is counted by the documents that hold it linked, over the whole corpus. A task
 gathers documents into blocks and numbers the different pairs of a block, so what is
 counted and answered is one row per block and pair; a document only keeps the places of
@@ -15,8 +19,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +37,13 @@ from staygrid.session import stored
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
+BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+# Words kept by a worker, and characters of the longest it keeps.
+WORDS_KNOWN, LONGEST_KNOWN = 200_000, 100
+# Words aligned in one pass, and characters of the texts looked at together.
+WORDS_TOGETHER, CHARS_TOGETHER = 5_000, 1 << 21
 # Tokens of either list put into a dictionary at a time.
-WINDOW = 1 << 15
+WINDOW = 1 << 11
 # Links expanded at a time, and pairs (one per document and pair) of a block.
 LINKS_TOGETHER = 1 << 21
 BLOCK_PAIRS = 1 << 21
@@ -54,14 +66,30 @@ class Tokens:
     """Bytes, lengths and decimal digits of the ids of one vocabulary."""
 
     def __init__(self, entries: list[bytes]):
-        self.bytes = entries
+        self.flat = np.frombuffer(b"".join(entries), np.uint8)
         self.length = np.array([len(e) for e in entries], np.int64)
         width = len(str(len(entries)))
         self.digits = np.array([str(k).encode() for k in range(len(entries))], f"S{width}")
         self.digits = self.digits.view(np.uint8).reshape(len(entries), width)
 
+        self.first = np.cumsum(self.length) - self.length
+
     def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        size = self.length[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(size.sum()) + np.repeat(self.first[ids] - (ends - size), size)].tobytes()
+
+
+class Word(NamedTuple):
+    """A word's tokens and links."""
+
+    n_a: int
+    n_b: int
+    groups: int
+    links: int
+    digits: bytes  # the groups as text, each with its semicolon
+    codes: bytes  # one 64-bit code per link, unless it has ``pairs``
+    pairs: tuple[np.ndarray, np.ndarray] | None = None  # codes and times of a long word
 
 
 class Aligner:
@@ -81,11 +109,10 @@ class Aligner:
             byte = bytes([int(piece[3:-1], 16)]) if self.model.is_byte(k) else None
             entries.append(piece.replace(BLANK, " ").encode() if byte is None else byte)
         self.b = Tokens(entries)
+        self.words: dict[str, Word | None] = {}
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both lists; None if the text is empty or a list does not spell it."""
-        if not text:
-            return None
+        """Ids of both lists; None if a list does not spell the text byte by byte."""
         whole = (" " + text).encode()
         a = self.encoder.encode_text(" " + text, special_as_text=True).astype(np.int64)
         b = np.array(self.model.encode(text), np.int64)
@@ -131,6 +158,16 @@ class Aligner:
         return out[out > 0].tobytes()
 
 
+def expanded(
+    a: np.ndarray, b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray
+) -> np.ndarray:
+    """Codes of all links of the slices, in their order."""
+    size = n_a * n_b
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    across = np.repeat(n_b, size)
+    return a[np.repeat(start_a, size) + place // across] << 32 | b[np.repeat(start_b, size) + place % across]
+
+
 def pairs_between(
     a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray
 ) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
@@ -151,12 +188,7 @@ def pairs_between(
     turn = np.cumsum(links) // LINKS_TOGETHER
     for k in range(int(turn[-1]) + 1 if len(turn) else 0):
         some = turn == k
-        size = links[some]
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        across = np.repeat(n_b[some], size)
-        left = a[np.repeat(start_a[some], size) + place // across]
-        right = b[np.repeat(start_b[some], size) + place % across]
-        yield left << 32 | right, None
+        yield expanded(a, b, start_a[some], start_b[some], n_a[~large][some], n_b[some]), None
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +205,75 @@ def added(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray
     return code, total
 
 
+def long_word(both: Aligner, a: np.ndarray, b: np.ndarray) -> Word:
+    groups, links, digits, parts = 0, 0, [], []
+    for cut_a, cut_b in both.cuts(a, b):
+        digits.append(both.written(a, b, cut_a, cut_b))
+        groups += len(cut_a) - 1
+        links += int((np.diff(cut_a) * np.diff(cut_b)).sum())
+        parts.append(added(list(pairs_between(a, b, cut_a, cut_b))))
+    return Word(len(a), len(b), groups, links, b"".join(digits), b"", added(parts) if len(parts) > 1 else parts[0])
+
+
+def learn(both: Aligner, words: list[str]) -> None:
+    """Align words that neither start nor end with white space; they share one pass."""
+    spelt = [(" " + w).encode() for w in words]
+    lists = both.model.encode(words, num_threads=1)
+    n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+    b = np.fromiter(chain.from_iterable(lists), np.int64, n_b.sum())
+    if both.b.joined(b) != b"".join(spelt):
+        good = [both.b.joined(np.array(x, np.int64)) == y for x, y in zip(lists, spelt, strict=True)]
+        both.words.update((w, None) for w, ok in zip(words, good, strict=True) if not ok)
+        words = [w for w, ok in zip(words, good, strict=True) if ok]
+        if words:
+            learn(both, words)
+        return
+    a = both.encoder.encode_text(" " + " ".join(words), special_as_text=True).astype(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))
+    stop_a = np.searchsorted(np.cumsum(both.a.length[a]), ends) + 1
+    stop_b = np.cumsum(n_b)
+    cuts = list(both.cuts(a, b))
+    cut_a, cut_b = (np.concatenate([[0], *(c[k][1:] for c in cuts)]) for k in (0, 1))
+    stop = np.searchsorted(cut_a, stop_a)  # groups up to the end of each word
+    digits = both.written(a, b, cut_a, cut_b)
+    semicolons = np.flatnonzero(np.frombuffer(digits, np.uint8) == ord(";")) + 1
+    links = np.cumsum(np.diff(cut_a) * np.diff(cut_b))
+    codes = expanded(a, b, cut_a[:-1], cut_b[:-1], np.diff(cut_a), np.diff(cut_b)).tobytes()
+    ends = zip(*(x.tolist() for x in (stop_a, stop_b, stop, semicolons[stop - 1], links[stop - 1])), strict=True)
+    i = j = g = d = n = 0
+    for word, (stop_i, stop_j, stop_g, stop_d, stop_n) in zip(words, ends, strict=True):
+        both.words[word] = Word(
+            stop_i - i, stop_j - j, stop_g - g, stop_n - n, digits[d:stop_d], codes[8 * n : 8 * stop_n]
+        )
+        i, j, g, d, n = stop_i, stop_j, stop_g, stop_d, stop_n
+
+
+def words_of(both: Aligner, texts: list[str]) -> list[list[Word] | None]:
+    """The words of each text; None if it is empty or a list does not spell it."""
+    split = [BETWEEN_WORDS.split(text) if text else [] for text in texts]
+    known = both.words
+    if len(known) > WORDS_KNOWN:
+        known.clear()
+    fresh = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+    usual = [w for w in fresh if len(w) <= LONGEST_KNOWN and not (w[0].isspace() or w[-1].isspace())]
+    for k in range(0, len(usual), WORDS_TOGETHER):
+        learn(both, usual[k : k + WORDS_TOGETHER])
+    rest = [w for w in fresh if w not in known]
+    for word in rest:
+        lists = both.encode(word)
+        known[word] = lists and long_word(both, *lists)
+    found = [list(map(known.__getitem__, words)) or None for words in split]
+    for word in rest:  # seldom seen again, and may be long
+        del known[word]
+    return [None if words and None in words else words for words in found]
+
+
+def pairs_of(words: list[Word]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes of all links of the words, ascending, and how many links each has."""
+    codes = np.frombuffer(b"".join([w.codes for w in words]), np.int64)
+    return added([(codes, None), *(w.pairs for w in words if w.pairs is not None)])
+
+
 _worker: dict[Paths, Aligner] = {}
 
 
@@ -200,12 +301,18 @@ def aligned(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
         for batch in batches:
             lists: list[list[np.ndarray]] = [[], [], [], []]
             for text in batch["text"].to_pylist():
-                found = both.encode(text)
-                a, b = found or (none, none)
-                stops = list(both.cuts(a, b))
-                row = (a, b, *(np.concatenate([none, *(s[k][1:] for s in stops)]) for k in (0, 1)))
+                row: list[list[np.ndarray]] = [[none], [none], [none], [none]]
+                words = [both.encode(word) for word in BETWEEN_WORDS.split(text)] if text else []
+                n_a = n_b = 0
+                for a, b in words if None not in words else ():
+                    stops = list(both.cuts(a, b))
+                    row[0].append(a)
+                    row[1].append(b)
+                    row[2] += [n_a + cut_a[1:] for cut_a, _ in stops]
+                    row[3] += [n_b + cut_b[1:] for _, cut_b in stops]
+                    n_a, n_b = n_a + len(a), n_b + len(b)
                 for out, values in zip(lists, row, strict=True):
-                    out.append(values)
+                    out.append(np.concatenate(values))
             arrays = [pa.array([v.astype(np.int32) for v in x], pa.list_(pa.int32())) for x in lists]
             yield batch_of(
                 doc_id=batch["doc_id"], **dict(zip(("ids_a", "ids_b", "stops_a", "stops_b"), arrays, strict=True))
@@ -225,20 +332,12 @@ def blocks_of(docs: DataFrame, paths: Paths) -> DataFrame:
         waiting: list[tuple] = []
         held = 0
 
-        def measured(doc_id: int | None, text: str) -> tuple:
-            found = both.encode(text)
-            if found is None:
+        def measured(doc_id: int | None, words: list[Word] | None) -> tuple:
+            if words is None:
                 return (doc_id, 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-            a, b = found
-            digest, groups, links, parts = hashlib.sha256(), 0, 0, []
-            for cut_a, cut_b in both.cuts(a, b):
-                text_of = both.written(a, b, cut_a, cut_b)
-                digest.update(text_of[:-1] if cut_a[-1] == len(a) else text_of)
-                groups += len(cut_a) - 1
-                links += int((np.diff(cut_a) * np.diff(cut_b)).sum())
-                parts.append(added(list(pairs_between(a, b, cut_a, cut_b))))
-            code, total = added(parts) if len(parts) > 1 else parts[0]
-            return (doc_id, len(a), len(b), groups, links, digest.hexdigest(), code, total)
+            n_a, n_b, groups, links, digits, _, _ = zip(*words, strict=True)
+            digest = hashlib.sha256(b"".join(digits)[:-1]).hexdigest()
+            return (doc_id, sum(n_a), sum(n_b), sum(groups), sum(links), digest, *pairs_of(words))
 
         def given() -> Iterator[pa.RecordBatch]:
             nonlocal block, waiting, held
@@ -273,11 +372,15 @@ def blocks_of(docs: DataFrame, paths: Paths) -> DataFrame:
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                waiting.append(measured(doc_id, text))
-                held += len(waiting[-1][6]) + 100
-                if held >= BLOCK_PAIRS:
-                    yield from given()
+            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            turn = np.cumsum([len(t) for t in texts]) // CHARS_TOGETHER
+            edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                for doc_id, words in zip(ids[i:j], words_of(both, texts[i:j]), strict=True):
+                    waiting.append(measured(doc_id, words))
+                    held += len(waiting[-1][6]) + 100
+                    if held >= BLOCK_PAIRS:
+                        yield from given()
         if waiting:
             yield from given()
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -100,10 +101,10 @@ def test_measures_against_brute_force(spark, monkeypatch, sizes):
         rows = [(k, t) for k, t in [*MESSY, *ODD] if len(t or "") < 400]
         both = alignment.Aligner(*alignment.default_files())
         for _, text in rows:
-            want, found = plain_groups(text), both.encode(text or "")
-            assert (want is None) == (found is None)
+            want = plain_groups(text)
+            assert (want is None) == (alignment.words_of(both, [text or ""]) == [None])
             if want:
-                a, b = found
+                a, b = both.encode(text)
                 cuts = list(both.cuts(a, b))
                 assert b"".join(both.written(a, b, *c) for c in cuts)[:-1].decode() == ";".join(
                     ",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in want[2]
@@ -132,6 +133,21 @@ def test_lists_and_cuts(spark):
         assert r.stops_b == np.cumsum([len(y) for _, y in want[2]]).tolist()
 
 
+def test_words_are_those_of_the_whole_text():
+    """No token goes across the blank between two words, in either list."""
+    for piece in map(B.id_to_piece, range(B.get_piece_size())):
+        assert "▁" not in piece.lstrip("▁")
+    both = alignment.Aligner(*alignment.default_files())
+    turn = random.Random(8)
+    for _ in range(3000):
+        text = "".join(turn.choices(["a", "the", " ", " ", "  ", "\n", "\t ", "'s", " 12", "é", "日本", "\x1c", "\u3000", "\xa0", ".", "<s>"], k=12))
+        want, words = plain_groups(text), alignment.words_of(both, [text])[0]
+        assert (want is None) == (words is None)
+        if want:
+            line = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in want[2])
+            assert b"".join(w.digits for w in words)[:-1].decode() == line
+
+
 def test_no_rows_and_pair_counts(spark):
     assert alignment.measured(documents(spark, [])).collect() == []
     rows = [(1, "one two"), (1, "one two"), (None, "two one one")]
