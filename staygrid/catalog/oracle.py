@@ -796,3 +796,5 @@ union all select l.id, a.id from listings_v l, amenities_v a where a.name in ('A
   and {_draw('amenity', 'l.id', 'a.id')} > 0.4"""
     ),
 }
+ORACLE["search_dense_total"] = ORACLE["search_batch_total"]
+ORACLE["search_dense_page"] = ORACLE["search_batch_page"]

@@ -97,7 +97,20 @@ def search_batch_sphere(f):
 @query
 def search_batch_total(f):
     valid = quality.accepted(quality.validate_requests(f.requests))
-    return search.search_totals(valid, search.search_matches(valid, f.listings, f.rooms))
+    return search.match_totals(valid, f.listings, f.rooms)
+
+
+@query
+def search_dense_total(f):
+    """Totals with a low limit for dense cells, so that most requests count summaries."""
+    valid = quality.accepted(quality.validate_requests(f.requests))
+    return search.match_totals(valid, f.listings, f.rooms, dense=64)
+
+
+@query
+def search_dense_page(f):
+    """Pages with a low limit for dense cells, so that most requests select by summaries."""
+    return search.geo_search(f.requests, f.listings, f.rooms, f.photos, f.favorites, dense=64)
 
 
 @query

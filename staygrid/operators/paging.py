@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from staygrid.operators.skew import with_group_number
+
+# A request with more candidates than this is ranked by a sort over all tasks.
+CANDIDATES_PER_TASK = 1_000_000
+
 
 def newest_first(column: str, *keys: str) -> list[Column]:
     """Descending time; an unset time comes first, as the source database sorts it."""
@@ -47,3 +52,30 @@ def page_per_request(matches: DataFrame, requests: DataFrame) -> DataFrame:
     placed = ranked.join(requests.withColumn("_skip", skip), "request_id")
     on_page = (F.col("position") > F.col("_skip")) & (F.col("position") <= F.col("_skip") + F.col("size"))
     return placed.where(on_page).drop("_skip")
+
+
+def page_of_candidates(candidates: DataFrame, per_task: int = CANDIDATES_PER_TASK) -> DataFrame:
+    """(request_id, listing_id, distance_m, position): the page of each request.
+
+    ``candidates`` (request_id, listing_id, distance_m, page, size) holds all matches that
+    can be on it, and in ``passed`` how many matches come before all of them; it is read
+    several times and should be stored. Ranked by (distance_m, listing_id): in one window
+    where a request has few candidates, by a distributed sort where it has more than
+    ``per_task``. Runs a job.
+    """
+    order = ["distance_m", "listing_id"]
+    many = candidates.groupBy("request_id").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > per_task)
+    mine = Window.partitionBy("request_id").orderBy(*order)
+    if many.isEmpty():
+        ranked = candidates.withColumn("_rank", F.row_number().over(mine).cast("long"))
+    else:
+        many = many.select("request_id")
+        few = candidates.join(many, "request_id", "left_anti").withColumn("_rank", F.row_number().over(mine).cast("long"))
+        ranked = few.unionByName(
+            with_group_number(candidates.join(many, "request_id", "left_semi"), ["request_id"], order, "_rank")
+        )
+    position = F.col("_rank") + F.col("passed")
+    skip = F.col("page").cast("long") * F.col("size")
+    return ranked.where((position > skip) & (position <= skip + F.col("size"))).select(
+        "request_id", "listing_id", "distance_m", position.cast("int").alias("position")
+    )

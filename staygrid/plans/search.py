@@ -19,9 +19,22 @@ from staygrid.operators.filters import (
     rating_display,
     rent_filter,
 )
-from staygrid.operators.paging import page, page_per_request
+from staygrid.operators.paging import page, page_of_candidates, page_per_request
 from staygrid.operators.quality import accepted, validate_requests
-from staygrid.operators.spatial import in_box, radius_join
+from staygrid.operators.spatial import cell_join, covering, in_box, radius_join
+from staygrid.operators.summaries import (
+    DENSE,
+    classified,
+    counted,
+    dense_cells,
+    levels_of,
+    matching,
+    page_cells,
+    roll_up,
+    with_density,
+    with_reach,
+)
+from staygrid.session import stored
 
 CARD = [
     "title", "locality", "address_line", "lat", "lng", "gender_preference", "pg_type",
@@ -38,40 +51,53 @@ def listing_cards(listings: DataFrame, rooms: DataFrame, photos: DataFrame) -> D
     )
 
 
-def search_matches(
-    requests: DataFrame, listings: DataFrame, rooms: DataFrame, metric: str = "spheroid"
-) -> DataFrame:
-    """All (request, listing) pairs that satisfy radius, status, category and rent.
-
-    Rents travel on the listing row, so matches are never joined to rooms. The
-    range test settles most pairs; only a request with both bounds needs to look
-    at the single rents.
-    """
-    ask = requests.select(
+def asked_of(requests: DataFrame) -> DataFrame:
+    """Requests as the radius join takes them; what is only compared starts with ``_ask``."""
+    return requests.select(
         "request_id", "user_id", F.col("lat").alias("req_lat"), F.col("lng").alias("req_lng"),
         (F.col("radius_km") * 1000).alias("radius_m"), "page", "size",
         F.col("min_rent").alias("_ask_lo"), F.col("max_rent").alias("_ask_hi"),
         *[sanitize(asked).alias(f"_ask_{asked}") for asked in CATEGORIES],
     )
-    offer = live(listings, "active").select(
+
+
+def offered_of(listings: DataFrame) -> DataFrame:
+    return live(listings, "active").select(
         F.col("id").alias("listing_id"), "lat", "lng",
-        *[F.col(stored).alias(f"_{stored}") for stored in CATEGORIES.values()],
+        *[F.col(c).alias(f"_{c}") for c in CATEGORIES.values()],
     )
-    rents = rent_levels(rooms).withColumnsRenamed(
+
+
+def rents_of(rooms: DataFrame) -> DataFrame:
+    return rent_levels(rooms).withColumnsRenamed(
         {"rent_lo": "_rent_lo", "rent_hi": "_rent_hi", "rents": "_rents"}
     )
-    category = " and ".join(
-        f"(_ask_{asked} is null or _{stored} = _ask_{asked})" for asked, stored in CATEGORIES.items()
-    )
-    pairs = radius_join(
-        ask, offer, f"{category} and {RENT_REACHABLE}", rents, RENT_SAME_ROOM,
-        ("_ask_lo", "_ask_hi", "_rents"), metric,
-    )
+
+
+def search_matches(
+    requests: DataFrame, listings: DataFrame, rooms: DataFrame, metric: str = "spheroid"
+) -> DataFrame:
+    """All (request, listing) pairs that satisfy radius, status, category and rent.
+
+    Rents travel on the listing row, so matches are never joined to rooms. The
+    range test settles most pairs; only a request with both bounds needs to look
+    at the single rents.
+    """
+    pairs = radius_join(asked_of(requests), offered_of(listings), *pair_tests(rooms), metric)
     return pairs.select(
         "request_id", "user_id", "listing_id", "radius_m", "page", "size", "distance_m"
     )
 
 
+def pair_tests(rooms: DataFrame) -> tuple[str, DataFrame, str, tuple[str, ...]]:
+    """What a pair must satisfy besides the radius, as the radius join takes it."""
+    return (
+        f"{MATCHING} and {RENT_REACHABLE}", rents_of(rooms), RENT_SAME_ROOM, ("_ask_lo", "_ask_hi", "_rents"),
+    )
+
+
+MATCHING = matching(CATEGORIES)
+
 # One and the same room satisfies both bounds. Ranges settle a request with one
 # bound; with two, some single rent must lie between them.
 RENT_REACHABLE = (
@@ -84,8 +110,64 @@ RENT_SAME_ROOM = (
 
 def search_totals(requests: DataFrame, matches: DataFrame) -> DataFrame:
     """Number of matching listings per request; 0 for a request without any."""
-    counted = matches.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
-    return requests.select("request_id").join(counted, "request_id", "left").select(
+    counted_ = matches.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    return requests.select("request_id").join(counted_, "request_id", "left").select(
+        "request_id", F.coalesce("total", F.lit(0)).alias("total")
+    )
+
+
+class Summaries:
+    """Requests (``asked_of``) without a dense cell in reach, ``plain``, and with one,
+    ``heavy`` (None if there is none), with the summaries of the dense cells; stored once."""
+
+    def __init__(self, asked: DataFrame, listings: DataFrame, rooms: DataFrame, metric: str, dense: int):
+        self.offers, self.rooms, self.metric = offered_of(listings), rooms, metric
+        self.plain, self.heavy = stored(asked, "search-asked"), None
+        self.dense = stored(dense_cells(self.offers, levels_of(self.plain), dense), "search-dense")
+        if self.dense.isEmpty():
+            return
+        # The quarters are there for later rounds; a request meets dense cells at its own level.
+        near = with_density(with_reach(covering(self.plain)), self.dense).where("_dense").select("request_id").distinct()
+        near = stored(near, "search-heavy")
+        if near.isEmpty():
+            return
+        self.heavy = stored(self.plain.join(near, "request_id", "left_semi"), "search-heavy")
+        self.plain = self.plain.join(near, "request_id", "left_anti")
+        offers = self.offers.join(rents_of(rooms).select("listing_id", "_rents"), "listing_id", "left")
+        self.rolled = stored(roll_up(offers, self.dense, [f"_{c}" for c in CATEGORIES.values()]), "search-summaries")
+
+    def measured(self, cells: DataFrame) -> DataFrame:
+        return cell_join(cells, self.offers, *pair_tests(self.rooms), self.metric)
+
+    def plain_pairs(self) -> DataFrame:
+        """All matches of plain requests: at most 36 cells that are not dense for each."""
+        return radius_join(self.plain, self.offers, *pair_tests(self.rooms), self.metric)
+
+    def heavy_totals(self) -> DataFrame:
+        cells = stored(classified(self.heavy, self.dense).drop("user_id", "page", "size"), "search-cells")
+        whole = F.col("_inside") & F.col("_rolled")
+        inside = counted(cells.where(whole), self.rolled, MATCHING, ["request_id"])
+        border = self.measured(cells.where(~whole)).groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+        border = stored(border, "search-border")
+        found = inside.unionByName(border).groupBy("request_id").agg(F.sum("_n").cast("int").alias("total"))
+        return stored(found, "search-totals")
+
+    def heavy_candidates(self) -> DataFrame:
+        cells = page_cells(self.heavy, self.dense, self.rolled, MATCHING).withColumn("passed", F.col("_passed"))
+        found = self.measured(cells.drop("user_id", "_passed", "_skip"))
+        return stored(found.select("request_id", "listing_id", "distance_m", "page", "size", "passed"), "search-candidates")
+
+
+def match_totals(
+    requests: DataFrame, listings: DataFrame, rooms: DataFrame, metric: str = "spheroid", dense: int = DENSE
+) -> DataFrame:
+    """``search_totals`` of all matches without measuring them all: dense cells inside a
+    circle are counted from summaries. Jobs run while the plan is built."""
+    summaries = Summaries(asked_of(requests), listings, rooms, metric, dense)
+    found = summaries.plain_pairs().groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    if summaries.heavy is not None:
+        found = found.unionByName(summaries.heavy_totals())
+    return requests.select("request_id").join(found, "request_id", "left").select(
         "request_id", F.coalesce("total", F.lit(0)).alias("total")
     )
 
@@ -97,16 +179,26 @@ def geo_search(
     photos: DataFrame,
     favorites: DataFrame,
     metric: str = "spheroid",
+    dense: int = DENSE,
 ) -> DataFrame:
     """The requested page of every valid request, ranked by distance, with its total.
 
-    Page and total both come from the match set; pairs are ranked down to one page
-    (and counted) before anything is joined to them, so listing details, rents,
-    photos and favourites only meet rows that are returned.
+    A request without a dense cell in reach has a bounded number of matches; they are
+    measured once, ranked and counted. For the others cell summaries tell which cells can
+    hold the page; only pairs in them are measured and ranked, and totals are counted from
+    the summaries too. Listing details, rents, photos and favourites only meet rows that
+    are returned. Jobs run while the plan is built.
     """
     valid = accepted(validate_requests(requests))
-    matches = search_matches(valid, listings, rooms, metric)
-    rows = page_per_request(matches, valid.select("request_id", "user_id", "page", "size"))
+    summaries = Summaries(asked_of(valid), listings, rooms, metric, dense)
+    plain = page_per_request(summaries.plain_pairs(), valid.select("request_id", "user_id", "page", "size"))
+    columns = ["request_id", "user_id", "page", "listing_id", "distance_m", "position", "total"]
+    rows = plain.select(*columns)
+    if summaries.heavy is not None:
+        heavy = page_of_candidates(summaries.heavy_candidates()).join(
+            summaries.heavy.select("request_id", "user_id", "page"), "request_id"
+        ).join(summaries.heavy_totals(), "request_id")
+        rows = rows.unionByName(heavy.select(*columns))
     found = rows.join(listing_cards(listings, rooms, photos), "listing_id")
     return with_favorite_flag(found, favorites).select(
         "request_id", "position", "page", "total", "listing_id", *CARD, "min_rent",

@@ -35,7 +35,7 @@ def test_radius_join_is_brute_force(spark, radii, per_task):
         "radius_m", F.element_at(F.array(*[F.lit(r) for r in radii]), (F.col("request_id") % len(radii) + 1).cast("int"))
     )
     listings = points(spark, rng, 120, "listing_id", "lat", "lng", box)
-    got = radius_join(requests, listings, rows_per_cell_task=per_task)
+    got = radius_join(requests, listings, pairs_per_cell_task=per_task)
     want = within(requests.crossJoin(listings), "req_lat", "req_lng", "lat", "lng", "radius_m")
     columns = ["request_id", "listing_id", "distance_m"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
