@@ -37,8 +37,13 @@ CLOSES_PARAGRAPH = frozenset(
 )
 OUTSIDE = frozenset("nav header footer aside form menu dialog button".split())
 INSIDE = frozenset("article main".split())
+# Words of a class, id or role that set a part of an article apart.
+APART = frozenset("ad ads advert advertisement comment comments promo related reply replies share sponsored".split())
 
-TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+# Nothing is taken back once read, so a broken tag costs one pass.
+TOKEN = re.compile(
+    r"<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
+)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 TAG_WORD = re.compile(r"[a-z]+")
 
@@ -49,40 +54,127 @@ TABLE_PAGES, LAYOUT_PAGES = 200, 400
 EPOCHS, RATE, RIDGE, SEED = 6, 0.3, 1e-4, 5
 
 
+class Path:
+    """A block-level tag with the words of its class, id and role, below its parent.
+
+    Equal paths are one object, also across pages. A path keeps the features of all its
+    tags as a bit mask that it shares with its parent where it adds none, so a deep page
+    costs as much as a flat one.
+    """
+
+    __slots__ = ("parent", "tag", "words", "mask", "near", "main", "score", "children")
+    made = 0
+
+    def __init__(self, parent: Path | None = None, tag: str = "", words: tuple[str, ...] = ()):
+        self.parent, self.tag, self.words, self.score, self.children = parent, tag, words, None, None
+        if parent is None:
+            self.mask, self.near, self.score = 0, (), 0.0
+            self.main = None
+            return
+        added = 0
+        for name in (f"tag {tag}", *(f"word {w}" for w in words)):
+            added |= 1 << bucket(name)
+        self.mask = parent.mask if parent.mask | added == parent.mask else parent.mask | added
+        near = (f"near {tag}", *(f"near word {w}" for w in (*parent.words, *words)))
+        self.near = tuple(sorted({b for b in map(bucket, near) if not self.mask >> b & 1}))
+        # Whether a block here is main text by its tags: None until an article begins.
+        self.main = parent.main
+        if tag in OUTSIDE or APART.intersection(words):
+            self.main = False
+        elif self.main is None and tag in INSIDE:
+            self.main = True
+
+    def child(self, tag: str, words: tuple[str, ...]) -> Path:
+        if self.children is None:
+            self.children = {}
+        found = self.children.get((tag, words))
+        if found is None:
+            found = self.children[tag, words] = Path(self, tag, words)
+            Path.made += 1
+        return found
+
+    def tags(self) -> list[tuple[str, tuple[str, ...]]]:
+        """Tags outermost first, each with its words."""
+        path, out = self, []
+        while path.parent is not None:
+            out.append((path.tag, path.words))
+            path = path.parent
+        return out[::-1]
+
+    def features(self) -> list[int]:
+        return sorted({*bits_of(self.mask), *self.near})
+
+    def scored(self, weights: np.ndarray) -> float:
+        """Sum of the features' weights; sums of the mask are kept along the path."""
+        path, todo = self, []
+        while path.score is None:
+            todo.append(path)
+            path = path.parent
+        for path in reversed(todo):
+            fresh = path.mask & ~path.parent.mask
+            path.score = path.parent.score + (float(weights[bits_of(fresh)].sum()) if fresh else 0.0)
+        return self.score + float(weights[list(self.near)].sum())
+
+
+def bits_of(mask: int) -> list[int]:
+    raw = np.frombuffer(mask.to_bytes(BUCKETS // 8, "little"), np.uint8)
+    return np.flatnonzero(np.unpackbits(raw, bitorder="little")).tolist()
+
+
 class Block(NamedTuple):
     text: str
-    # Tags above the block, outermost first, each with the words of its class, id and role.
-    above: tuple[tuple[str, tuple[str, ...]], ...]
+    above: Path
     link_chars: int
 
 
-def leaf_blocks(page: str) -> list[Block]:
+class Open(NamedTuple):
+    """An open tag: the path and place of the innermost block-level tag up to it."""
+
+    name: str
+    path: Path
+    block: int
+
+
+def leaf_blocks(page: str, root: Path | None = None) -> list[Block]:
     """Blocks in page order. Missing and stray end tags are mended as browsers do roughly:
-    an end tag closes what is open inside its element, one without a start is dropped."""
+    an end tag closes what is open inside its element, one without a start is dropped.
+    Time and memory grow with the length of the page, however its tags are nested."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = [Open("", root or Path(), 0)]
+    count: dict[str, int] = {}
     parts: list[str] = []
-    links = 0
+    links, hidden = 0, 0
     at, size = 0, len(page)
+    last = page.rfind(">")
 
     def close_block() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), links))
+            blocks.append(Block(text, stack[-1].path, links))
         parts.clear()
         links = 0
 
+    def close_from(place: int) -> None:
+        nonlocal hidden
+        for tag in stack[place:]:
+            count[tag.name] -= 1
+            hidden -= tag.name in NOT_TEXT
+        del stack[place:]
+
     def add(text: str) -> None:
         nonlocal links
-        if text and not any(x[0] in NOT_TEXT for x in stack):
+        if text and not hidden:
             plain = html.unescape(text) if "&" in text else text
             parts.append(plain)
-            if any(x[0] == "a" for x in stack):
+            if count.get("a"):
                 links += len(plain.strip())
 
     while at < size:
-        found = TOKEN.search(page, at)
+        found = TOKEN.search(page, at) if at <= last else None
+        if not found and (begin := page.find("<!--", at)) >= 0:
+            add(page[at:begin])
+            break  # a comment that does not end
         if not found:
             add(page[at:])
             break
@@ -99,21 +191,18 @@ def leaf_blocks(page: str) -> list[Block]:
         if name not in INLINE:
             close_block()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if count.get(name):
+                place = len(stack) - 1
+                while stack[place].name != name:
+                    place -= 1
+                close_from(place)
             continue
         if name in VOID or inner.endswith("/") and name not in RAW:
             continue
         if name in CLOSES_PARAGRAPH or name in ("li", "tr", "td", "th", "dd", "dt"):
-            own = "p" if name in CLOSES_PARAGRAPH else name
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == own:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            place = stack[-1].block  # beyond it only inline tags are open
+            if place and stack[place].name == ("p" if name in CLOSES_PARAGRAPH else name):
+                close_from(place)
         words: tuple[str, ...] = ()
         if inner:
             values = " ".join(a or b or c for a, b, c in NAMED.findall(inner)).lower()
@@ -121,7 +210,13 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in RAW:
             end = re.compile(rf"</{name}", re.I).search(page, at)
             at = size if not end else end.start()
-        stack.append((name, words))
+        outer = stack[-1]
+        if name in INLINE:
+            stack.append(Open(name, outer.path, outer.block))
+        else:
+            stack.append(Open(name, outer.path.child(name, words), len(stack)))
+        count[name] = count.get(name, 0) + 1
+        hidden += name in NOT_TEXT
     close_block()
     return blocks
 
@@ -138,16 +233,14 @@ def bucket(name: str) -> int:
     return xxhash.xxh32_intdigest(name) % BUCKETS
 
 
-def features(block: Block, known: dict) -> list[int]:
-    """Buckets of the features that hold for a block."""
-    path = known.get(block.above)
-    if path is None:
-        if len(known) > 20_000:
-            known.clear()
-        names = {f"tag {t}" for t, _ in block.above} | {f"word {w}" for _, ws in block.above for w in ws}
-        names |= {f"near {t}" for t, _ in block.above[-1:]}
-        names |= {f"near word {w}" for _, ws in block.above[-2:] for w in ws}
-        path = known[block.above] = sorted({bucket(n) for n in names})
+# A block with more words is prose, in which the words of menus and notices say nothing.
+LABEL_WORDS = 30
+# Paths kept from page to page.
+PATHS_KNOWN = 20_000
+
+
+def own_features(block: Block) -> list[int]:
+    """Buckets of the features of a block's text."""
     text = block.text
     words = text.split()
     names = [
@@ -158,9 +251,14 @@ def features(block: Block, known: dict) -> list[int]:
         f"end {'stop' if text[-1] in '.!?:;' else 'open'}",
         f"mark {'©' in text}",
     ]
-    if len(words) <= 30:
+    if len(words) <= LABEL_WORDS:
         names += [f"key {w}" for w in {w.strip('.,:;!?').lower() for w in words} & KEYWORDS]
-    return path + [bucket(n) for n in names]
+    return [bucket(n) for n in names]
+
+
+def features(block: Block) -> list[int]:
+    """Buckets of the features that hold for a block."""
+    return block.above.features() + own_features(block)
 
 
 class Field(NamedTuple):
@@ -249,8 +347,7 @@ def fit(pages: Sequence[tuple[list[list[int]], list[int]]]) -> Field:
 
 def tag_label(block: Block) -> int:
     """Label of a block by the tags above it: in the article, and in no part set apart."""
-    tags = [t for t, _ in block.above]
-    return int(any(t in INSIDE for t in tags) and not any(t in OUTSIDE for t in tags))
+    return int(bool(block.above.main))
 
 
 # Layouts of labelled pages. {m} stands for main text, {x} for other text.
@@ -335,14 +432,13 @@ def train(pages: DataFrame, table_pages: int = TABLE_PAGES, layout_pages: int =
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict = {}
             for turn, page in zip(batch["turn"].to_pylist(), batch["html"].to_pylist(), strict=True):
                 blocks = leaf_blocks(page)
                 labels = [tag_label(b) for b in blocks]
                 if any(labels):
                     yield batch_of(
                         turn=pa.array([turn], pa.int64()),
-                        features=pa.array([[features(b, known) for b in blocks]], pa.list_(pa.list_(pa.int32()))),
+                        features=pa.array([[features(b) for b in blocks]], pa.list_(pa.list_(pa.int32()))),
                         labels=pa.array([labels], pa.list_(pa.int32())),
                     )
 
@@ -350,16 +446,18 @@ def train(pages: DataFrame, table_pages: int = TABLE_PAGES, layout_pages: int =
         chosen.select("turn", "html"), labelled, "turn long, features array<array<int>>, labels array<int>"
     ).toArrow().sort_by("turn")
     found = list(zip(table["features"].to_pylist(), table["labels"].to_pylist(), strict=True))
-    turn, known = random.Random(SEED), {}
+    turn = random.Random(SEED)
     for _ in range(layout_pages):
         blocks, labels = written_page(turn)
-        found.append(([features(b, known) for b in blocks], labels))
+        found.append(([features(b) for b in blocks], labels))
     return fit(found)
 
 
-def main_text(page: str, field: Field, known: dict) -> tuple[str, list[int]]:
-    blocks = leaf_blocks(page)
-    labels = viterbi([float(field.weights[features(b, known)].sum()) for b in blocks], field.pairs.tolist())
+def main_text(page: str, field: Field, root: Path) -> tuple[str, list[int]]:
+    """Text of the main blocks and the labels of all; ``root`` keeps scores of one field."""
+    blocks = leaf_blocks(page, root)
+    scores = [b.above.scored(field.weights) + float(field.weights[own_features(b)].sum()) for b in blocks]
+    labels = viterbi(scores, field.pairs.tolist())
     return " ".join(b.text for b, y in zip(blocks, labels, strict=True) if y), labels
 
 
@@ -368,7 +466,8 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
 
     The text is that of the main blocks, in page order, joined by a blank; empty if there
     is none. A null page is empty; broken markup is mended; repeated rows are kept, null
-    ids and URLs stay null, no rows give no rows, other columns are not read.
+    ids and URLs stay null, no rows give no rows, other columns are not read. Time and
+    memory of a very long page grow with its length; of equal scores the block is left out.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -376,9 +475,13 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
     )
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        root = Path()
         for batch in batches:
-            found = [main_text(page, field, known) for page in batch["html"].to_pylist()]
+            found = []
+            for page in batch["html"].to_pylist():
+                if Path.made > PATHS_KNOWN:
+                    root, Path.made = Path(), 0
+                found.append(main_text(page, field, root))
             yield batch_of(
                 page_id=batch["page_id"], url=batch["url"],
                 text=pa.array([t for t, _ in found], pa.string()),

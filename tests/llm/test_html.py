@@ -2,6 +2,7 @@ import html
 import math
 import random
 import re
+import time
 from itertools import product
 
 import pytest
@@ -44,8 +45,8 @@ def test_blocks_of_broken_and_odd_markup():
     assert texts("<p>&#233;&eacute;&nbsp;&lt;b&gt; &unknown; &amp;amp;</p>") == ["éé <b> &unknown; &amp;"]
     assert texts("<!-- a --><p>x<!-- b -->y</p><!DOCTYPE html>") == ["xy"]
     nested = leaf_blocks('<div class="Post Body"><ul><li>a<li>b</ul></div><p id=main>c')
-    assert [tuple(t for t, _ in b.above) for b in nested] == [("div", "ul", "li"), ("div", "ul", "li"), ("p",)]
-    assert nested[0].above[0][1] == ("post", "body") and nested[2].above[0][1] == ("main",)
+    assert [tuple(t for t, _ in b.above.tags()) for b in nested] == [("div", "ul", "li"), ("div", "ul", "li"), ("p",)]
+    assert nested[0].above.tags()[0][1] == ("post", "body") and nested[2].above.tags()[0][1] == ("main",)
 
 
 @pytest.fixture(scope="module")
@@ -54,10 +55,10 @@ def field(spark):
 
 
 def test_held_out_layouts(field):
-    turn, known, right, total = random.Random(99), {}, 0, 0
+    turn, right, total = random.Random(99), 0, 0
     for _ in range(300):
         blocks, labels = written_page(turn)
-        got = viterbi([float(field.weights[features(b, known)].sum()) for b in blocks], field.pairs.tolist())
+        got = viterbi([float(field.weights[features(b)].sum()) for b in blocks], field.pairs.tolist())
         right += sum(a == b for a, b in zip(got, labels, strict=True))
         total += len(labels)
     assert right / total > 0.98
@@ -88,7 +89,7 @@ def test_parts_set_apart_are_left_out(field):
         "<section id='comments' class='comments'><div class='comment'><p>I do not agree with this at all.</p></div></section>"
         "<form><label>Your name</label><p>Sign up for news by mail.</p></form><footer>© Someone, all rights reserved.</footer>"
     )
-    text, _ = main_text(page, field, {})
+    text, _ = main_text(page, field, html_crf.Path())
     assert text == (
         "A title of some words The first paragraph is long enough to be read, with commas. The second paragraph ends it."
     )
@@ -106,6 +107,36 @@ def test_messy_pages(spark, field):
     assert html_crf.extract(empty, html_crf.train(empty, layout_pages=5)).collect() == []
 
 
+def test_deep_and_broken_pages_take_linear_time(field):
+    """Each within seconds; the nesting, the unclosed tags and quotes once were quadratic."""
+    n = 200_000
+    pages = {
+        "nested": "<article>" + "<div>x" * n, "closed": "<div>x" * n + "</div>" * n, "stray": "<b>" * n + "</i>" * n,
+        "inline": "<b>" * n + "<li>y</li>" * n, "quotes": "<a \"" * n, "single": "<a '" * (n + 1) + ">", "open": "<a " * n,
+        "less": "<" * n, "comments": "<!--" * n, "bang": "<!" * n, "spaces": " " * 2_000_000, "lines": "<p>" + "\n" * 2_000_000,
+        "classes": "".join(f"<div class='c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}'>z" for k in range(15_000)),
+    }
+    started = time.process_time()
+    for name, page in pages.items():
+        before = time.process_time()
+        text, labels = main_text(page, field, html_crf.Path())
+        assert time.process_time() - before < 20, name
+    assert time.process_time() - started < 60
+    assert len(leaf_blocks(pages["nested"])) == n and [b.text for b in leaf_blocks(pages["open"])][0][:4] == "<a <"
+
+
+def test_parts_of_an_article_set_apart_are_not_main_text():
+    page = "<article><p>a</p><div class='comments'><p>b</p></div><div id=share>c</div><aside>d</aside><div class='body'>e</div></article><p>f</p>"
+    assert [html_crf.tag_label(b) for b in leaf_blocks(page)] == [1, 0, 0, 0, 1, 0]
+
+
+def test_only_short_blocks_have_the_words_of_labels():
+    key = html_crf.bucket("key cookies")
+    for n in (html_crf.LABEL_WORDS, html_crf.LABEL_WORDS + 1):
+        block = leaf_blocks("<p>" + "cookies " * n)[0]
+        assert (key in features(block)) == (n <= html_crf.LABEL_WORDS)
+
+
 def test_training_does_not_depend_on_order(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     a, b = html_crf.train(pages, 20, 5), html_crf.train(pages.repartition(5), 20, 5)
