@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from staygrid.llm.frames import batch_of, id_and_text, map_batches
 from staygrid.llm.tokens import byte_pairs, default_paths
+from staygrid.session import stored
 
 # Lengths are summed within blocks of this many, then over the blocks.
 BLOCK = 4096
@@ -19,9 +20,11 @@ BLOCK = 4096
 def length_histogram(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """(n_tokens, n_docs): how many documents have each encoded length.
 
-    Null and empty texts have length 0; every row counts, repeated or not; no rows give
-    no rows. Tasks count their own rows first, so the shuffle carries one row per
-    length and task.
+    Null and empty texts have length 0; every row counts, repeated or not, and equal
+    lengths are one row; no rows give no rows; other columns of ``docs`` are not read.
+    Very long texts are encoded whole. Tasks count their own rows first, so the shuffle
+    carries one row per length and task. Stored once, so that what is asked of it does
+    not encode the documents again.
     """
     ranks_path, tokenizer_path = paths or default_paths()
 
@@ -34,7 +37,7 @@ def length_histogram(docs: DataFrame, paths: tuple[str, str] | None = None) -> D
                 yield batch_of(n_tokens=pa.array(value), n_docs=pa.array(count.astype(np.int64)))
 
     counts = map_batches(id_and_text(docs).select("text"), counted, "n_tokens long, n_docs long")
-    return counts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return stored(counts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:

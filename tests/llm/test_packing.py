@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -122,3 +122,15 @@ def test_length_blocks(spark):
     for n in sorted(rows, reverse=True):
         docs, total = docs + 1 + n % 3, total + n * (1 + n % 3)
         assert (rows[n].docs_at_least, rows[n].tokens_at_least) == (docs, total)
+
+
+def test_very_long_texts_without_breaks(spark):
+    """Runs of white space beyond what the fast library's pattern can hold, and one letter."""
+    rows = [(1, " " * 2_000_000), (2, "\n" * 2_000_000), (3, "a" * 2_000_000), (4, "x" + " \n" * 300_000 + "y")]
+    docs = documents(spark, rows, clashes=False)
+    got = {}
+    for r in packing.pack(docs).select("doc_id", "length").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    want = {k: len(ids_of(t)) + 1 for k, t in rows}
+    assert got == want
+    assert {r.n_tokens: r.n_docs for r in lengths.length_histogram(docs).collect()} == dict(Counter(n - 1 for n in want.values()))
