@@ -52,6 +52,13 @@ TEMPLATES = (
     ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
 )
 CONTAINMENT = 0.8
+# Words that tell templates apart which are otherwise nearly alike: a template with such a
+# word matches only blocks that have it, and a template without it not those that do.
+TELLING = {
+    "mit": frozenset({"mit"}), "gpl": frozenset(), "agpl": frozenset({"affero"}), "lgpl": frozenset({"lesser"}),
+    "cc-by": frozenset(), "cc-by-sa": frozenset({"sharealike"}), "apache": frozenset({"apache"}),
+}
+ALIKE = (frozenset({"gpl", "agpl", "lgpl"}), frozenset({"cc-by", "cc-by-sa"}))
 # Templates travel to every task, so their number and length are bounded.
 MOST_TEMPLATES, MOST_WORDS = 1000, 256
 
@@ -96,6 +103,13 @@ def document_counts(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
+def told_apart(template: Template) -> tuple[frozenset, frozenset]:
+    """Words a block must have, and must not have, for the template's label."""
+    own = TELLING.get(template.label, frozenset())
+    others = [TELLING[x] for kin in ALIKE if template.label in kin for x in kin - {template.label}]
+    return own.intersection(template.words), frozenset().union(*others) - own
+
+
 class Index:
     """Templates by the words of their prefixes, in the global order."""
 
@@ -108,6 +122,7 @@ class Index:
             len(s) if t.phrase else max(1, math.ceil(containment * len(s) - 1e-9))
             for t, s in zip(templates, self.sets, strict=True)
         ]
+        self.told = [told_apart(t) for t in templates]
         self.postings: dict[int, list[tuple[int, int]]] = {}
         for k, (ranks, need) in enumerate(zip(self.sets, self.need, strict=True)):
             for place, rank in enumerate(ranks[: len(ranks) - need + 1]):
@@ -170,6 +185,10 @@ def scan_text(text: str, index: Index) -> dict:
                     places.update((k, p) for p in found)
                     containment = 1.0 if found else 0.0
                 else:
+                    having, lacking = index.told[k]
+                    own = words[start:stop]
+                    if not having.issubset(own) or not lacking.isdisjoint(own):
+                        continue
                     blocks.append({"label": template.label, "start": start, "stop": stop, "containment": containment})
                 best = max(best, containment)
     base = {index.templates[k].label for k, _ in places}
@@ -192,8 +211,10 @@ def scan(
     """Per row: base phrases with their places, labels, score, and all matching blocks.
 
     ``labels`` has the base labels and those of every template of which some block
-    contains at least ``containment`` of the different words; ``score`` is the largest
-    containment among the matches (1 for a phrase), 0 without one. No labels is the
+    contains at least ``containment`` of the different words, and that its telling words
+    do not rule out; ``score`` is the largest containment among the matches (1 for a
+    phrase), 0 without one. Every match counts, also of equal containment; a very long
+    text is searched in blocks. No labels is the
     empty string. Null and empty texts have no words; repeated rows are kept, a null
     doc_id stays null, no rows give no rows, other columns of ``docs`` are not read.
     Two passes over the text: word counts over all documents (one row per template word

@@ -8,6 +8,10 @@ from staygrid.llm import licenses
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
+NEEDED = {"mit": {"mit"}, "agpl": {"affero"}, "lgpl": {"lesser"}, "cc-by-sa": {"sharealike"}, "apache": {"apache"}}
+BARRED = {"gpl": {"affero", "lesser"}, "agpl": {"lesser"}, "lgpl": {"affero"}, "cc-by": {"sharealike"}}
+
+
 def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
@@ -28,7 +32,8 @@ def plain_scan(text, notices, phrases, containment):
         for label, notice in notices:
             own = set(WORD.findall(lowered(notice)))
             share = len(own & block) / len(own)
-            if share >= containment - 1e-12:
+            needed = NEEDED.get(label, set()) & own
+            if share >= containment - 1e-12 and needed <= block and not BARRED.get(label, set()) & block:
                 labels.add(label)
                 best = max(best, share)
     return {
@@ -89,3 +94,12 @@ def test_small_alphabet_and_every_threshold(spark):
 
 def test_no_rows(spark):
     assert licenses.scan(documents(spark, [])).collect() == []
+
+
+def test_templates_do_not_give_each_others_labels():
+    templates = licenses.templates_from(licenses.TEMPLATES, licenses.BASE)
+    index = licenses.Index(templates, {}, licenses.CONTAINMENT)
+    for label, text in licenses.TEMPLATES:
+        assert set(licenses.scan_text(f"Some words before. {text} And after.", index)["labels"].split(",")) == {label}
+    for text in ("released under the license", "This file is released under the Apache License, see there"):
+        assert "mit" not in licenses.scan_text(text, index)["labels"].split(",")
