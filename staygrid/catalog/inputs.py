@@ -41,6 +41,15 @@ select c_custkey as id, cast((c_custkey * 37) % 1700 as double) / 10 - 85 as req
 from customer
 """
 
+# Points and, within half a degree, their antipodes.
+ANTIPODAL_PAIRS = """
+select c_custkey as id, cast((c_custkey * 37) % 1700 as double) / 10 - 85 as req_lat,
+  cast((c_custkey * 53) % 1000 as double) / 10 - 90 as req_lng,
+  85 - cast((c_custkey * 37) % 1700 as double) / 10 + cast((c_custkey * 7) % 11 - 5 as double) / 10 as lat,
+  cast((c_custkey * 53) % 1000 as double) / 10 + 90 + cast((c_custkey * 13) % 11 - 5 as double) / 10 as lng
+from customer
+"""
+
 EDGE_REQUESTS = """
 select request_id, case when request_id % 7 = 0 then null else lat end as lat,
   case when request_id % 11 = 0 then null when request_id % 12 = 0 then 120.5 else lng end as lng,
@@ -99,14 +108,14 @@ from customer
 """
 
 DRAFT_LINES = """
-select concat('{"title": "', p_name, '", "addressLine": "a", "locality": "l", "genderPreference": "MALE", "pgType": "PG", ',
+select concat('{"title": "', p_name, '", "addressLine": "a", "locality": "l", "genderPreference": ', case when p_partkey % 6 = 0 then 'MALE' else '"MALE"' end, ', "pgType": "PG", ',
   case when p_partkey % 7 = 0 then '' else '"foodType": "VEG", ' end,
   case p_partkey % 5 when 0 then '"city": null, ' when 1 then '"city": "Mysuru", ' else '' end,
   case p_partkey % 3 when 0 then '"roomOptions": [{"sharingType": "SINGLE", "monthlyRent": 1, "securityDeposit": 0, "totalBeds": 1, "availableBeds": 1}], '
     when 1 then '"roomOptions": [{"sharingType": "SINGLE", "monthlyRent": 1, "securityDeposit": 0, "totalBeds": 1, "availableBeds": 1, "noticePeriodDays": 15}], ' else '' end,
-  case p_partkey % 4 when 0 then '"amenityIds": [1, 2], ' when 1 then '"amenityIds": [], ' else '' end,
+  case p_partkey % 4 when 0 then '"amenityIds": [1, "2"], ' when 1 then '"amenityIds": [], ' else '' end,
   case when p_partkey % 11 = 0 then 'extra: true, ' else '' end,
-  '"latitude": 12.9, "longitude": 77.6', case when p_partkey % 13 = 0 then '' else '}' end) as line
+  case when p_partkey % 17 = 0 then '"latitude": "12.9", ' else '"latitude": 12.9, ' end, '"longitude": 77.6', case when p_partkey % 13 = 0 then '' else '}' end) as line
 from part
 """
 

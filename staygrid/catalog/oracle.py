@@ -796,5 +796,43 @@ union all select l.id, a.id from listings_v l, amenities_v a where a.name in ('A
   and {_draw('amenity', 'l.id', 'a.id')} > 0.4"""
     ),
 }
+
+
+def _antipodal() -> str:
+    """Bisection for the azimuth as a recursive statement, one row per pair and step."""
+    f, a = 1 / 298.257223563, 6378137.0
+    b = a * (1 - f)
+    path = (
+        "select *, x2s as x2q from (select *, -sin({m}) * cb1 as x1, cos({m}) * cb1 as s0, "
+        "sqrt(greatest(0, power(sin({m}) * cb1, 2) + (sb1 - sb2) * (sb1 + sb2))) as x2s from {t})"
+    )
+    arcs = (
+        "select *, atan2(sb1, x1) as s1, atan2(sb2, x2q) as s2, atan2(s0 * sb2, x2q) - atan2(s0 * sb1, x1) as w, "
+        f"greatest(0, 1 - s0 * s0) as c0, {f!r} / 16 * greatest(0, 1 - s0 * s0) * (4 + {f!r} * (4 - 3 * greatest(0, 1 - s0 * s0))) as k from ({{p}})"
+    )
+    gained = (
+        f"w - (1 - k) * {f!r} * s0 * (s2 - s1 + k * sin(s2 - s1) * (cos(s1 + s2) + k * cos(s2 - s1) * (2 * power(cos(s1 + s2), 2) - 1)))"
+    )
+    step = arcs.format(p=path.format(m="((lo + hi) / 2)", t="solve where step < 64"))
+    end = arcs.format(p=path.format(m="((lo + hi) / 2)", t="solve where step = 64"))
+    return f"""with recursive pairs as ({inputs.ANTIPODAL_PAIRS}),
+reduced as (select id, atan({1 - f!r} * tan(radians(req_lat))) as u1, atan({1 - f!r} * tan(radians(lat))) as u2,
+  abs((radians(lng - req_lng) + pi()) - 2 * pi() * floor((radians(lng - req_lng) + pi()) / (2 * pi())) - pi()) as l from pairs),
+turned as (select id, l, u1, u2, case when abs(u1) >= abs(u2) then u1 else u2 end as b1, case when abs(u1) >= abs(u2) then u2 else u1 end as b2 from reduced),
+solve as (
+  select id, l, least(-sin(abs(b1)), -1e-15) as sb1, cos(b1) as cb1, sin(case when b1 > 0 then -b2 else b2 end) as sb2,
+    -pi() / 2 as lo, pi() / 2 as hi, 0 as step from turned
+  union all
+  select id, l, sb1, cb1, sb2, case when {gained} < l then (lo + hi) / 2 else lo end, case when {gained} < l then hi else (lo + hi) / 2 end,
+    step + 1 from ({step})),
+scaled as (select *, c0 * {(a * a - b * b) / (b * b)!r} as u, s2 - s1 as arc, cos(s1 + s2) as mid from ({end})),
+series as (select *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) as aa, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) as bb from scaled),
+metres as (select id, {b!r} * aa * (arc - bb * sin(arc) * (mid + bb / 4 * (cos(arc) * (2 * mid * mid - 1)
+  - bb / 6 * mid * (4 * power(sin(arc), 2) - 3) * (4 * mid * mid - 3)))) as m from series)
+select t.id, round(case when greatest(abs(t.u1), abs(t.u2)) <= 1e-7 and t.l <= {(1 - f)!r} * pi() then {a!r} * t.l else m end, 2) as metres
+from metres join turned t on t.id = metres.id"""
+
+
+ORACLE["geodesic_antipodal"] = _antipodal()
 ORACLE["search_dense_total"] = ORACLE["search_batch_total"]
 ORACLE["search_dense_page"] = ORACLE["search_batch_page"]

@@ -139,6 +139,13 @@ def geodesic_far(f):
     return with_geodesic_m(f.sql(inputs.FAR_PAIRS), "req_lat", "req_lng", "lat", "lng").select("id", "distance_m")
 
 
+@query
+def geodesic_antipodal(f):
+    """Pairs up to the exact antipode, to the centimetre."""
+    found = with_geodesic_m(f.sql(inputs.ANTIPODAL_PAIRS), "req_lat", "req_lng", "lat", "lng", "metres")
+    return found.select("id", F.round("metres", 2).alias("metres"))
+
+
 @query
 def normalise_requests(f):
     return filters.normalise_requests(f.sql(inputs.RAW_REQUESTS)).select(

@@ -104,8 +104,11 @@ def recent_reviews(reviews: DataFrame, users: DataFrame, n: int = RECENT_REVIEWS
     latest = Window.partitionBy("listing_id").orderBy(
         F.col("created_at").desc_nulls_first(), F.col("id")
     )
-    named = with_reviewer(shown_reviews(reviews), users)
-    return named.withColumn("position", F.row_number().over(latest)).where(F.col("position") <= n)
+    # Only ids meet the reviews before they are cut; names join what is shown.
+    known = users.select(F.col("id").alias("user_id"))
+    shown = shown_reviews(reviews).join(known, "user_id", "left_semi")
+    top = shown.withColumn("position", F.row_number().over(latest)).where(F.col("position") <= n)
+    return with_reviewer(top, users)
 
 
 def room_options(rooms: DataFrame) -> DataFrame:

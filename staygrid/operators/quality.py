@@ -186,9 +186,10 @@ def validate_photos(meta: DataFrame, counts: DataFrame) -> DataFrame:
 
     A failed upload takes no place. A good one gets ``display_order`` = number of
     photos before it and is refused from the sixth on; a full listing refuses before it
-    looks at the file. Every upload row is judged once, equal rows one after the other;
-    the rank travels on the row, so nothing is joined back. A listing's uploads are
-    sorted in one task (sort-spilled, one counter of state).
+    looks at the file. Every upload row is judged once, equal rows one after the other.
+    A listing needs to know no more than its first six good uploads, which a bounded
+    ranking finds task by task, so no task ranks all uploads of a listing. The uploads are
+    stored once with a row number.
     """
     file_reason = first_reason(
         (~F.coalesce(F.col("content_type").startswith("image/"), F.lit(False)), "content type"),
@@ -198,22 +199,33 @@ def validate_photos(meta: DataFrame, counts: DataFrame) -> DataFrame:
         ),
         (F.col("size_bytes") > MAX_PHOTO_BYTES, "too large"),
     )
-    before = (
-        Window.partitionBy("listing_id").orderBy("uploaded_at", "upload_key", F.col("_file").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, -1)
+    numbered = stored(meta.withColumns({"_file": file_reason, "_row": F.monotonically_increasing_id()}), "uploads")
+    arrival = F.struct("uploaded_at", "upload_key")
+    first = Window.partitionBy("listing_id").orderBy("uploaded_at", "upload_key", "_row")
+    good = numbered.where(F.col("_file").isNull()).select("listing_id", "uploaded_at", "upload_key", "_row")
+    good = good.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= MAX_PHOTOS_PER_LISTING)
+    firsts = good.groupBy("listing_id").agg(
+        F.sort_array(F.collect_list(F.struct("_place", "_row", arrival.alias("arrival")))).alias("_firsts")
     )
-    ranked = meta.withColumn("_file", file_reason).withColumn(
-        "_good", F.coalesce(F.sum(F.col("_file").isNull().cast("int")).over(before), F.lit(0))
+    known = firsts.join(counts.select("listing_id", "photo_count"), "listing_id", "full")
+    placed = split_join(numbered, known, ["listing_id"], "left", "upload_key").withColumn(
+        "photo_count", F.coalesce("photo_count", F.lit(0))
     )
-    placed = split_join(ranked, counts.select("listing_id", "photo_count"), ["listing_id"], "left", "upload_key")
-    taken = F.coalesce("photo_count", F.lit(0)) + F.col("_good")
-    full = taken >= MAX_PHOTOS_PER_LISTING
+    place = F.array_position(F.col("_firsts")["_row"], F.col("_row"))
+    taken = F.col("photo_count") + place - 1
+    room = F.lit(MAX_PHOTOS_PER_LISTING) - F.col("photo_count")
+    # The upload that takes the last place; equal arrivals of good files come first.
+    last = F.get(F.col("_firsts"), (room - 1).cast("int"))["arrival"]
+    is_good = F.col("_file").isNull()
+    full = (room <= 0) | F.when(is_good, F.coalesce(place, F.lit(0)) == 0).otherwise(F.lit(False)) | F.when(
+        is_good, taken >= MAX_PHOTOS_PER_LISTING
+    ).otherwise(F.coalesce(last <= arrival, F.lit(False)))
     return placed.withColumns(
         {
-            "display_order": F.when(~full & F.col("_file").isNull(), taken.cast("int")),
+            "display_order": F.when(~full & is_good, taken.cast("int")),
             "reason": F.when(full, F.lit("too many photos")).otherwise(F.col("_file")),
         }
-    ).drop("_file", "_good", "photo_count")
+    ).drop("_file", "_row", "_firsts", "photo_count")
 
 
 def check_id_shape(df: DataFrame, column: str) -> DataFrame:

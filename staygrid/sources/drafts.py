@@ -38,6 +38,45 @@ OUTPUT = {
 }
 
 
+# Whole strings, marks, and runs of anything else; a quote that does not end stays alone.
+TOKENS = r'''"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]+|"'''
+NUMBERS = (
+    *REQUIRED_NUMBER, "monthlyRent", "securityDeposit", "totalBeds", "availableBeds", "noticePeriodDays", "amenityIds",
+)
+TEXTS = (*REQUIRED_TEXT, *OPTIONAL_TEXT, "city", "sharingType")
+NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def strict_json(lines: DataFrame, column: str) -> DataFrame:
+    """Lenient JSON lines as strict JSON text in the same column: bare values become strings
+    where text is asked for or where they are no literal, quoted numbers become numbers
+    where one is asked for. What is neither stays malformed. Expressions only."""
+    tokens = F.regexp_extract_all(F.col(column), F.lit(TOKENS), F.lit(0))
+    # The exploded array keeps the tokens from being computed again for each of them.
+    cut = lines.withColumn("_cut", F.explode(F.array(F.struct(tokens.alias("t")))))
+    t = F.col("_cut.t")
+
+    def written(token: Column, i: Column) -> Column:
+        before, after = F.get(t, i - 1), F.get(t, i + 1)
+        key = F.when(before == ":", F.regexp_replace(F.get(t, i - 2), '"', ""))
+        quoted = token.startswith('"') & token.endswith('"') & (F.length(token) > 1)
+        inner = F.substring(token, F.lit(2), F.length(token) - 2)
+        listed = before.isin("[", ",") & F.coalesce(after.isin("]", ","), F.lit(False))
+        number = F.coalesce(key.isin(*NUMBERS), F.lit(False))
+        bare = ~quoted & ~token.isin(*"{}[],:", '"')
+        literal = token.rlike(rf"^({NUMBER}|true|false|null)$")
+        as_text = F.coalesce(key.isin(*TEXTS), F.lit(False)) & (token != "null")
+        value = F.coalesce(before == ":", F.lit(False)) | listed
+        return (
+            F.when(quoted & (number | listed) & inner.rlike(f"^{NUMBER}$"), inner)
+            .when(bare & value & (as_text | (~literal & ~number)), F.concat(F.lit('"'), token, F.lit('"')))
+            .otherwise(token)
+        )
+
+    strict = F.when(F.col(column).isNotNull(), F.array_join(F.transform(t, written), " "))
+    return cut.withColumn(column, strict).drop("_cut")
+
+
 def _variant_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
@@ -45,8 +84,9 @@ def _variant_text(v: Column) -> Column:
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
     """One row per line with a ``reason`` that is NULL when the draft is well formed.
 
-    Unknown keys are ignored and bare field names accepted. A required field that
-    is missing or null, or an explicit null for a defaulted field, is a reason.
+    Unknown keys are ignored; bare field names, bare values and quoted numbers are
+    accepted. A required field that is missing or null, or an explicit null for a
+    defaulted field, is a reason.
     """
     lines = spark.read.text(path)
     return parse_drafts(lines, "value")
@@ -60,6 +100,7 @@ def parse_drafts(lines: DataFrame, column: str) -> DataFrame:
         "allowUnquotedFieldNames": "true",
         "allowSingleQuotes": "false",
     }
+    lines = strict_json(lines.select(column), column)
     draft = F.from_json(F.col(column), SCHEMA, options)
     shape = F.from_json(
         F.col(column),

@@ -189,11 +189,13 @@ def test_few_passes_are_enough(spark):
 
 @pytest.mark.parametrize(
     "pair, metres",
-    [((12.9, 77.6, -12.8, -102.2), 19955337.092), ((0.0, 0.0, 0.5, 179.0), 19902751.033),
+    [((12.9, 77.6, -12.8, -102.2), 19989731.920), ((0.0, 0.0, 0.5, 179.0), 19902751.033),
      ((12.9, 77.6, -12.0, -100.0), 19751639.669), ((-33.9, 18.4, 40.7, -74.0), 12547900.196)],
 )
 def test_far_pairs_settle(spark, pair, metres):
-    """The lengths are those of 400 plain passes of the formula."""
+    """Lengths by integrals along the geodesic (tests/test_geodesic.py). The first pair is
+    near its antipode: plain passes end at 19955337.092, a length at which no geodesic from
+    the first point comes within 0.3 degrees of the second."""
     points = spark.createDataFrame([pair], "a double, b double, c double, d double")
     assert with_geodesic_m(points, "a", "b", "c", "d").first()["distance_m"] == pytest.approx(metres, abs=2e-3)
 
@@ -245,6 +247,63 @@ def test_draft_lines(spark):
     assert got[8]["amenity_ids"] == [3, 3]
 
 
+def test_lenient_draft_values(spark):
+    """Bare values, quoted numbers, escapes, nested marks in strings; the rest is malformed."""
+    head = '{title:T, "addressLine":"a, {b}: \\"c\\" [d]", locality: l, "pgType":PG, foodType : VEG, '
+    place = '"latitude":"12.9", "longitude": 77.6, "genderPreference":COED'
+    room = '{sharingType: SINGLE, "monthlyRent":"5", "securityDeposit":1, "totalBeds":"1", "availableBeds":1, "noticePeriodDays":"7"}'
+    long_text = "x" * 200_000 + "\\\\" * 50_000
+    lines = [
+        head + place + "}", head + place + ', "roomOptions":[' + room + '], "amenityIds":["1", 2,"3"]}',
+        head.replace("title:T", "title:12") + place + "}", head.replace("title:T", "title: null") + place + "}",
+        head.replace("title:T", "title: two words") + place + "}", head + place.replace('"12.9"', "north") + "}",
+        head + place.replace('"12.9"', '"north"') + "}", head + place + ', "extra": {deep: [bare, 1, "q"]}}',
+        head + place + ', "description": "open}', head.replace("title:T", f'title:"{long_text}"') + place + "}",
+        head.replace("title:T", 'title:"12"') + place + ', "city": Mysuru, "pincode": 560001}',
+    ]
+    got = parse_drafts(spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1), "line").collect()
+    bad = "malformed"
+    assert [r["reason"] for r in got] == [None, None, None, "missing field", bad, bad, bad, None, bad, None, None]
+    assert got[0]["address_line"] == 'a, {b}: "c" [d]' and (got[0]["title"], got[0]["latitude"]) == ("T", 12.9)
+    assert got[0]["gender_preference"] == "COED" and got[1]["amenity_ids"] == [1, 2, 3]
+    assert got[1]["rooms"][0].asDict() == {
+        "sharing_type": "SINGLE", "monthly_rent": 5, "security_deposit": 1, "total_beds": 1, "available_beds": 1,
+        "notice_period_days": 7,
+    }
+    assert got[2]["title"] == "12" and got[9]["title"] == "x" * 200_000 + "\\" * 50_000
+    assert (got[10]["title"], got[10]["city"], got[10]["pincode"]) == ("12", "Mysuru", "560001")
+
+
+def test_uploads_of_a_hot_listing(spark):
+    """Equal to a replay with ties, equal rows and nulls; no task ranks all of a listing."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(900):
+        listing = 1 if k % 3 == 0 else rng.randrange(60)
+        when = None if k % 50 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(40))
+        rows.append((listing, when, rng.randrange(4), rng.choice(["image/png", "image/png", "text/html", None]), "a.png", rng.choice([1, 10**8])))
+    schema = "listing_id long, uploaded_at timestamp, upload_key long, content_type string, file_name string, size_bytes long"
+    meta = spark.createDataFrame(rows, schema)
+    present = {k: k % 8 for k in range(0, 60, 2)}
+    counts = spark.createDataFrame(list(present.items()), "listing_id long, photo_count long")
+    judged = quality.validate_photos(meta, counts)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    want = []
+    for listing in {r[0] for r in rows}:
+        taken = present.get(listing, 0)
+        key = lambda r: (r[1] is not None, r[1] or dt.datetime.min, r[2], r[3] != "image/png" or r[5] > 1)
+        for r in sorted((r for r in rows if r[0] == listing), key=key):
+            file = None if r[3] == "image/png" and r[5] == 1 else "content type" if r[3] != "image/png" else "too large"
+            reason = "too many photos" if taken >= 6 else file
+            want.append((*r, None if reason else taken, reason))
+            taken += reason is None
+    got = [tuple(r) for r in judged.select(*meta.columns, "display_order", "reason").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_documents_have_empty_arrays(spark, tmp_path):
     from staygrid.schema import TABLES
 
