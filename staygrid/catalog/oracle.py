@@ -834,5 +834,8 @@ from metres join turned t on t.id = metres.id"""
 
 
 ORACLE["geodesic_antipodal"] = _antipodal()
+ORACLE["inquirer_estimates"] = compose(
+    "select listing_id, count(distinct tenant_id) as exact, true as within from inquiries_v group by listing_id"
+)
 ORACLE["search_dense_total"] = ORACLE["search_batch_total"]
 ORACLE["search_dense_page"] = ORACLE["search_batch_page"]

@@ -250,6 +250,16 @@ def inquiry_summary(f):
     return reports.inquiry_summary(f.inquiries, f.listings)
 
 
+@query
+def inquirer_estimates(f):
+    """The exact count of inquirers, and whether the merged sketches keep to their error."""
+    estimated = reports.inquirer_estimates(reports.inquirer_sketches(f.inquiries)).drop("latest")
+    exact = f.inquiries.groupBy("listing_id").agg(F.countDistinct("tenant_id").alias("exact"))
+    return exact.join(estimated, "listing_id").select(
+        "listing_id", "exact", (F.abs(F.col("inquirers") - F.col("exact")) <= reports.SKETCH_ERROR * F.col("exact")).alias("within")
+    )
+
+
 @query
 def favorites_list(f):
     return reports.favorites_list(f.favorites, f.listings, f.rooms, f.photos)

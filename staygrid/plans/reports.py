@@ -100,3 +100,29 @@ def target_lookup(
         F.coalesce("display_order", F.lit(0)).alias("photo_order"),
     )
     return targets.join(counted, "listing_id").join(owned, ["listing_id", "photo_id"], "left")
+
+
+# Registers of a sketch, as a power of two, and the error its estimates are held to: three
+# standard deviations of 1.04 / sqrt(registers).
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def inquirer_sketches(inquiries: DataFrame) -> DataFrame:
+    """(listing_id, day, sketch, latest): distinct inquirers of each listing and day as a
+    mergeable sketch of bounded size, with the day's latest attempt.
+
+    Days can be added as they come and merged over any range, which counts of distinct
+    tenants cannot.
+    """
+    return inquiries.groupBy("listing_id", F.to_date("last_attempt_at").alias("day")).agg(
+        F.hll_sketch_agg("tenant_id", SKETCH_BITS).alias("sketch"), F.max("last_attempt_at").alias("latest")
+    )
+
+
+def inquirer_estimates(sketches: DataFrame) -> DataFrame:
+    """(listing_id, inquirers, latest): the approximate form of the inquiry summary's counts,
+    within ``SKETCH_ERROR`` (relative) with a probability of about 99.7 %."""
+    return sketches.groupBy("listing_id").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("inquirers"), F.max("latest").alias("latest")
+    )
