@@ -193,7 +193,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     Only the text is looked at. Null and empty texts get the score of a text without
     words; repeated rows score alike; a null doc_id stays null and is not held out; no
-    rows give no rows; other columns of ``docs`` are not read.
+    rows give no rows; other columns of ``docs`` are not read. A very long text is scored
+    whole, by the set of its n-grams; a score at the threshold is predicted toxic.
     """
     ready(docs.sparkSession)
     rows = id_and_text(docs).withColumn("score", toxicity(F.col("text"), model))

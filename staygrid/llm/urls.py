@@ -25,8 +25,9 @@ RULES = (
 )
 # A URL whose host has one of these as a word is labelled unwanted, any other wanted.
 UNWANTED_WORDS = (
-    "adult", "bet", "bets", "bingo", "casino", "escort", "jackpot", "lottery", "malware", "phish",
-    "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "win", "xxx",
+    "ad", "ads", "adserver", "adult", "advert", "adverts", "banner", "banners", "bet", "bets", "bingo",
+    "casino", "escort", "jackpot", "lottery", "malware", "phish", "pills", "poker", "popup", "popups", "porn",
+    "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "warez", "win", "xxx",
 )
 # Trees are fitted on at most this many URLs of either label: those with the least hash.
 URLS_PER_LABEL = 5000
@@ -186,7 +187,8 @@ def judge(
     The longest rule that fits decides; else the URL is blocked if its score reaches the
     threshold. A null URL or one without ``://`` has an empty host and path, fits no rule
     and is scored on what it has (a null URL as an empty one). Repeated rows are kept, a
-    null page_id stays null, no rows give no rows, other columns are not read. Nothing is
+    null page_id stays null, no rows give no rows, other columns are not read. A very long
+    URL is read whole; a score at the threshold is blocked. Nothing is
     shuffled: the suffix statistics are bounded by the training sample and broadcast.
     """
     rows = with_features(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"))
