@@ -301,7 +301,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link when their fingerprints differ in at most two bits; exact copies
     share a fingerprint and are one vertex. component_id is the smallest doc_id that
     can be reached, nulls aside; it is null only if no member has an id. Texts without a
-    word have fingerprint zero and link like any other. No rows give no rows; repeated
+    word have fingerprint zero and link like any other; a very long text is counted
+    whole, a bit set in exactly half of the shingles is 0. No rows give no rows; repeated
     rows stay; other columns of ``docs`` are not read. Jobs run while the plan is built.
     """
     prints = stored(fingerprints(docs), "simhash-prints")
