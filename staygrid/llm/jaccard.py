@@ -1,7 +1,10 @@
-"""Near-duplicates by the exact Jaccard similarity of their word shingles.
+"""Near-duplicates by SimHash and the exact Jaccard similarity of their word shingles.
 
-For stages that have no contract of their own. Pairs are found by a prefix-filtered join,
-which loses none: shingles have one global order, and two sets that reach the similarity
+For stages that have no contract of their own. First every set gets a SimHash fingerprint of
+its shingles, the index of ``simhash`` gives each the nearest ones within seven bits, and the
+pairs that reach the similarity make the first classes. Sets of similarity 0.8 differ in about
+ten bits, so fingerprints alone cannot hold every link: what they miss between different
+classes is found by a prefix-filtered join, which loses none. There shingles have one global order, and two sets that reach the similarity
 share one of the first n - ceil(0.8 n) + 1 shingles of either, n being the set's size. A
 pair must pass the length and position filters at its first common shingle and is then
 compared set by set. Shingles that many documents of a bounded sample hold come last in
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staygrid.llm.frames import Scratch, batch_of, id_and_text, least_by, map_batches
-from staygrid.llm.simhash import components
+from staygrid.llm.simhash import components, fingerprint_over, nearest
 
 SHINGLE_WORDS = 5
 # Least similarity, as a fraction of two integers: comparisons are exact.
@@ -166,7 +169,7 @@ def frequent_shingles(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def described(rows: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
-    """One row per row with its set's code, size, map and prefix."""
+    """One row per row with its set's code, fingerprint, size, map and prefix."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -178,12 +181,13 @@ def described(rows: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
             yield batch_of(
                 doc_id=batch["doc_id"], row_id=batch["row_id"],
                 fp=pa.array([set_code(s) for s in sets], pa.int64()),
+                print=pa.array([fingerprint_over(s) for s in sets], pa.int64()),
                 n=pa.array([len(s) for s in sets], pa.int32()),
                 map=pa.array([map_of(s).tobytes() for s in sets], pa.binary()),
                 prefix=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
             )
 
-    return map_batches(rows, found, "doc_id long, row_id long, fp long, n int, map binary, prefix array<long>")
+    return map_batches(rows, found, "doc_id long, row_id long, fp long, print long, n int, map binary, prefix array<long>")
 
 
 def compatible(n_a: np.ndarray, at_a: np.ndarray, n_b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
@@ -212,6 +216,23 @@ def in_groups(batches: Iterator[pa.RecordBatch], key: str, names: tuple[str, ...
         yield tuple(whole[n] for n in names)
 
 
+def near_prints(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): sets with one fingerprint, each with the least of them, and the least ones of
+    fingerprints that are nearest to each other in the index."""
+    heads = scratch.stored(nodes.groupBy("print").agg(F.min("fp").alias("head")), "jaccard-heads")
+    of = lambda end, name: heads.select(F.col("print").alias(end), F.col("head").alias(name))
+    alike = nodes.join(heads, "print").where(F.col("fp") != F.col("head")).select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    near = nearest(heads.select(F.col("print").alias("fp"))).join(of("fp", "x"), "fp").join(of("other", "y"), "other")
+    return alike.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different classes so far."""
+    of = lambda end: linked.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}"))
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def candidates(postings: DataFrame, most_members: int) -> DataFrame:
     """(a, b, shingle): pairs of sets that share a shingle of their prefixes.
 
@@ -402,7 +423,7 @@ def open_pairs(
 def classes(
     rows: DataFrame, words: int, scratch: Scratch, most_members: int = GROUP_MEMBERS, square: int = SQUARE
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes (fp, first, row_id, n, map), one per distinct set, and the components (fp, root).
+    """Nodes (fp, first, row_id, print, n, map), one per distinct set, and the components (fp, root).
 
     The result is the same for any ``most_members`` and ``square``. Jobs run while the plan
     is built; tables go when they have been read for the last time.
@@ -410,16 +431,23 @@ def classes(
     prints = scratch.stored(described(rows, words, frequent_shingles(rows, words)), "jaccard-prints")
     nodes = prints.groupBy("fp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_id")).alias("first"),
-        F.first("n").alias("n"), F.first("map").alias("map"),
+        F.first("print").alias("print"), F.first("n").alias("n"), F.first("map").alias("map"),
     )
     nodes = scratch.stored(nodes.withColumn("row_id", F.col("first.row_id")), "jaccard-nodes")
+    alike = scratch.stored(near_prints(nodes, scratch), "jaccard-alike")
+    edges = scratch.stored(verified(alike, nodes, rows, words, scratch), "jaccard-near")
+    scratch.discard("jaccard-heads", "jaccard-close", "jaccard-dealt", "jaccard-wanted")
+    linked = components(edges)
+
     postings = prints.select("fp", "n", F.posexplode("prefix").alias("at", "shingle"))
     found = scratch.stored(candidates(postings, most_members), "jaccard-found")
     scratch.discard("jaccard-prints")
-    pairs = scratch.stored(found.where(F.col("b").isNotNull()).select("a", "b").distinct(), "jaccard-pairs")
+    pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct().join(alike, ["a", "b"], "left_anti")
+    pairs = scratch.stored(apart(pairs, linked), "jaccard-pairs")
     large = scratch.stored(found.where(F.col("b").isNull()).select(F.col("a").alias("fp"), "shingle"), "jaccard-large")
     scratch.discard("jaccard-found")
-    edges = scratch.stored(verified(pairs, nodes, rows, words, scratch), "jaccard-links")
+    edges = edges.unionByName(scratch.stored(verified(pairs, nodes, rows, words, scratch), "jaccard-links"))
+    pairs = pairs.unionByName(alike)
     scratch.discard("jaccard-close", "jaccard-dealt", "jaccard-wanted")
 
     linked = components(edges)
@@ -434,7 +462,7 @@ def classes(
         edges = edges.unionByName(scratch.stored(verified(again, nodes, rows, words, scratch), "jaccard-more"))
         scratch.discard("jaccard-close", "jaccard-dealt", "jaccard-wanted")
         linked = components(edges)
-    scratch.discard("jaccard-pairs", "jaccard-large", "jaccard-links")
+    scratch.discard("jaccard-alike", "jaccard-near", "jaccard-pairs", "jaccard-large", "jaccard-links")
     return nodes, linked
 
 

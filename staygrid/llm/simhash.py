@@ -7,13 +7,16 @@ with many members is divided further by masks over its free bits, so no node tha
 searched grows with the data. Inside a node the members are sorted by Gray rank and
 factored level by level into groups; a group keeps the bits all its members share, and
 two groups are dropped as soon as the differences on bits both share exceed the limit.
+
+``nearest`` searches the same index at a wider radius for an operator that checks the pairs
+itself: seven of nine slices may differ, so two are whole, and a fingerprint goes to 36 nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ BITS = 64
 NODE_MEMBERS = 4096
 # Members or groups factored into one group of the next level.
 FANOUT = 32
+# The wider radius, and the slices of which it leaves two or more whole.
+WIDE_BITS, WIDE_SLICES = 7, 9
 SHINGLES_TOGETHER = 65_536
 
 
@@ -48,7 +53,12 @@ def fingerprint_of(text: str) -> int:
     else:
         n = len(words) - SHINGLE_WORDS + 1
         shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False))
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest), shingles, repeat(SEED)), np.uint64, n)
+    return fingerprint_over(np.fromiter(map(partial(xxhash.xxh64_intdigest), shingles, repeat(SEED)), np.uint64, n))
+
+
+def fingerprint_over(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of shingle hashes; of none it is zero."""
+    n = len(hashes)
     ones = np.zeros(BITS, np.int64)
     for k in range(0, n, SHINGLES_TOGETHER):
         part = hashes[k : k + SHINGLES_TOGETHER].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -251,6 +261,82 @@ def links(nodes: DataFrame, most_members: int = NODE_MEMBERS) -> DataFrame:
     return found.where(F.col("root").isNotNull()).select("fp", "root").unionByName(fine.select("fp", "root"))
 
 
+def nearest_in_nodes(node: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of members with another within ``most`` bits in their node, and of the nearest.
+
+    ``node`` is sorted, and ``codes`` are in Gray order within a node. Nodes too small for an
+    upper level are compared together, larger ones level by level.
+    """
+    none = np.iinfo(np.int64).max
+    best = np.full(len(node), none)
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        bits = np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64)
+        ok = bits <= most
+        a, b, bits = a[ok], b[ok], bits[ok] << 32
+        np.minimum.at(best, a, bits | b)
+        np.minimum.at(best, b, bits | a)
+
+    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    sizes = np.diff(np.r_[starts, len(node)])
+    after = np.repeat(starts + sizes, sizes)
+    a = np.flatnonzero(np.repeat(sizes <= FANOUT, sizes))
+    for step in range(1, FANOUT):
+        a = a[a + step < after[a]]
+        take(a, a + step)
+    for k in np.flatnonzero(sizes > FANOUT).tolist():
+        for a, b in linked_pairs(codes[starts[k] : starts[k] + sizes[k]], most):
+            take(starts[k] + a, starts[k] + b)
+    found = np.flatnonzero(best != none)
+    return found, best[found] & 0xFFFFFFFF
+
+
+def nearest(nodes: DataFrame, most: int = WIDE_BITS, slices: int = WIDE_SLICES, run: int = NODE_MEMBERS) -> DataFrame:
+    """(fp, other): for each fingerprint the nearest within ``most`` bits in each of its nodes.
+
+    ``nodes`` has one row per distinct ``fp``. Nodes lie in Gray order over the tasks. One above
+    ``run`` members is searched in runs of that many, and borders of tasks cut a node too, so a
+    crowded fingerprint may get a near one in place of the nearest; whoever needs every link
+    must find those that are left by other means, as ``jaccard`` does.
+    """
+    size = BITS // slices
+    kept = list(combinations(range(slices), slices - most))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch["fp"].to_numpy().view(np.uint64)
+            turn = gray_rank(codes).view(np.int64)
+            for index, whole in enumerate(kept):
+                node = np.full(len(codes), index, np.uint64)
+                for k in whole:
+                    node = node << np.uint64(size) | codes >> np.uint64(k * size) & np.uint64((1 << size) - 1)
+                yield batch_of(node=pa.array(node.view(np.int64)), turn=pa.array(turn))
+
+    dealt = map_batches(nodes.select("fp"), placed, "node long, turn long")
+    dealt = dealt.repartitionByRange("node", "turn").sortWithinPartitions("node", "turn")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, turn = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in chain(batches, [None]):
+            stop = len(node)
+            if batch is not None:
+                node = np.concatenate([node, batch["node"].to_numpy()])
+                turn = np.concatenate([turn, batch["turn"].to_numpy()])
+                if not len(node):
+                    continue
+                stop = int(np.searchsorted(node, node[-1]))  # the last node may go on
+                if len(node) - stop >= run:
+                    stop = len(node)
+            if stop:
+                rank = turn[:stop].view(np.uint64)
+                codes = rank ^ rank >> np.uint64(1)
+                found, other = nearest_in_nodes(node[:stop], codes, most)
+                yield batch_of(fp=pa.array(codes[found].view(np.int64)), other=pa.array(codes[other].view(np.int64)))
+                node, turn = node[stop:], turn[stop:]
+
+    return map_batches(dealt, searched, "fp long, other long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root): every vertex of ``edges`` but the roots, with the least vertex it reaches.
 

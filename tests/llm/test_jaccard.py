@@ -107,3 +107,17 @@ def test_one_passage_in_thousands_of_texts(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
     kept = jaccard.keep_one(documents(spark, rows, clashes=False), square=500)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(3000))
+
+
+def test_fingerprints_find_edited_copies_before_the_join(spark, monkeypatch):
+    """Without the join's candidates SimHash links what is within seven bits and reaches 0.8."""
+    turn = random.Random(11)
+    fresh = lambda n: ["".join(turn.choices("abcdefgh", k=6)) for _ in range(n)]
+    bases = [fresh(300) for _ in range(40)]
+    texts = [" ".join(b) for b in bases] + [" ".join([*b[:-1], "edited"]) for b in bases]
+    short = fresh(9)  # 5 shingles against 3: near or not, they do not reach 0.8
+    rows = [(k, t) for k, t in enumerate([*texts, " ".join(short), " ".join(short[:7])])]
+    none = spark.createDataFrame([], "a long, b long, shingle long")
+    monkeypatch.setattr(jaccard, "candidates", lambda postings, most: none)
+    kept = jaccard.keep_one(documents(spark, rows, clashes=False))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 80, 81]

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from samples import MESSY, SMALL, documents
 
@@ -130,3 +131,29 @@ def test_one_row_of_each_class_stays(spark):
         ids = [d for (d, _), p in zip(MESSY, prints, strict=True) if classes[p] == c and d is not None]
         assert doc == min(ids, default=None)
     assert simhash.keep_one(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("run", [simhash.NODE_MEMBERS, 50])
+def test_nearest_within_the_wider_radius(spark, run):
+    turn = np.random.default_rng(5)
+    base = turn.integers(0, 2**63, 400, np.int64).astype(np.uint64)
+    flips = lambda n, k: np.bitwise_or.reduce(np.uint64(1) << turn.integers(0, 64, (n, k)).astype(np.uint64), axis=1)
+    codes = np.unique(np.concatenate([base, base[:150] ^ flips(150, 7), base[:1] ^ flips(300, 3), base[200:300] ^ flips(100, 12)]))
+    apart = np.bitwise_count(codes[:, None] ^ codes[None]).astype(int)
+    np.fill_diagonal(apart, 65)
+    at = {c: k for k, c in enumerate(codes.view(np.int64).tolist())}
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # no borders of tasks
+    try:
+        found = simhash.nearest(spark.createDataFrame([(c,) for c in at], "fp long"), run=run).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    least = np.full(len(codes), 65)
+    for r in found:
+        bits = apart[at[r.fp], at[r.other]]
+        assert bits <= simhash.WIDE_BITS
+        least[at[r.fp]] = min(least[at[r.fp]], bits)
+    want = np.where(apart.min(axis=1) <= simhash.WIDE_BITS, apart.min(axis=1), 65)
+    assert (least >= want).all()
+    if run > len(codes):
+        assert (least == want).all()
