@@ -29,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the least id of each class of near-duplicates.
 
     Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8
-    or more; three words and two bits are the contract of ``op5_simhash`` alone.
+    or more. SimHash finds the pairs within seven bits, an exact join those beyond; three
+    words and two bits are the contract of ``op5_simhash`` alone.
     """
     return jaccard.keep_one(docs)
 
