@@ -24,6 +24,7 @@ whose maps are nearest, then whatever is left open.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,9 @@ SHINGLE_WORDS = 5
 # Least similarity, as a fraction of two integers: comparisons are exact.
 PART, WHOLE = 4, 5
 
-# A shingle in the prefixes of more sets than this is used in two rounds.
-GROUP_MEMBERS = 64
+# A shingle in the prefixes of more sets than this is used in two rounds. In a smaller group
+# all meet all, so this also bounds how fast pairs grow: groups grow with the input.
+GROUP_MEMBERS = 8
 # Sets each member of such a group is compared with in the first round.
 HUBS = 3
 # The sample for the order, the count that makes a shingle frequent, and most such shingles.
@@ -50,8 +52,9 @@ MOST_FREQUENT = 50_000
 MAP_WORDS, MOST_MAP_WORDS = 16, 1 << 11
 # Others a member of a large group is compared with in each of the rounds for nearest maps.
 NEAREST, NEAREST_ROUNDS = 3, 2
-# Side of the squares members of a large group are compared in.
+# Side of the squares members of a large group are compared in, and pairs compared at a time.
 SQUARE = 4096
+PAIRS_TOGETHER = 1 << 16
 # Shingles of the hubs one block of pairs holds, and partners of a hub in one block.
 BLOCK_SHINGLES = 6_000_000
 HUB_PARTNERS = 2_000
@@ -373,12 +376,16 @@ def open_pairs(
 ) -> DataFrame:
     """(a, b): members of a large group that are in different classes and whose maps allow
     the similarity; of each member's only the ``nearest`` by their maps, unless None. A
-    group is cut into squares of ``square`` members a side."""
+    group is cut into squares of ``square`` members a side. Groups with the same members, as
+    the shingles of one passage have, are compared once."""
     member = large.join(linked, "fp", "left").select("shingle", "fp", F.coalesce("root", "fp").alias("root"))
     groups = member.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("members"), F.min("root").alias("least"), F.max("root").alias("most")
+        F.count(F.lit(1)).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"),
+        F.bit_xor(F.xxhash64("fp")).alias("code"),
     ).where(F.col("least") != F.col("most"))
-    sides = groups.select("shingle", F.ceil(F.col("members") / square).cast("int").alias("sides"))
+    sides = groups.groupBy("code", "members").agg(F.min("shingle").alias("shingle")).select(
+        "shingle", F.ceil(F.col("members") / square).cast("int").alias("sides")
+    )
     met = member.join(sides, "shingle").join(nodes.select("fp", "n", "map"), "fp").withColumn(
         "side", F.pmod(F.xxhash64("fp"), F.col("sides")).cast("int")
     )
@@ -395,26 +402,28 @@ def open_pairs(
             full = maps.to_pylist()
             maps = np.stack([folded(np.frombuffer(m, "<u8"), MAP_WORDS) for m in full])
             x, y = x[0].as_py(), y[0].as_py()
-            mine = np.arange(len(fp)) if x == y else np.flatnonzero(side == x)
-            for k in mine.tolist():
-                others = np.arange(k + 1, len(fp)) if x == y else np.flatnonzero(side == y)
-                others = others[
-                    (root[others] != root[k])
-                    & (WHOLE * np.minimum(n[others], n[k]) >= PART * np.maximum(n[others], n[k]))
-                ]
-                others = others[may_reach(maps[others], n[others], maps[k], n[k])]
-                if nearest is not None and len(others) > nearest:
-                    turn = differing(maps[others], maps[k]) / (n[others] + n[k])
-                    others = others[np.argsort(turn, kind="stable")]
-                found = []
-                for o in others.tolist():
-                    if pair_may_reach(full[o], int(n[o]), full[k], int(n[k])):
-                        found.append(o)
-                        if len(found) == nearest:
-                            break
-                if found:
+            mine, others = (np.flatnonzero(side == end) for end in (x, y))
+            step = max(1, PAIRS_TOGETHER // max(1, len(others)))
+            for start in range(0, len(mine), step):
+                i, j = (v.ravel() for v in np.broadcast_arrays(mine[start : start + step, None], others))
+                ok = (root[i] != root[j]) & (WHOLE * np.minimum(n[i], n[j]) >= PART * np.maximum(n[i], n[j]))
+                if x == y:
+                    ok &= i < j
+                i, j = i[ok], j[ok]
+                ok = may_reach(maps[i], n[i], maps[j], n[j])
+                i, j = i[ok], j[ok]
+                if nearest is not None:
+                    turn = np.lexsort((differing(maps[i], maps[j]) / (n[i] + n[j]), i))
+                    i, j = i[turn], j[turn]
+                left, right, met = [], [], Counter()
+                for k, o in zip(i.tolist(), j.tolist(), strict=True):
+                    if met[k] != nearest and pair_may_reach(full[o], int(n[o]), full[k], int(n[k])):
+                        met[k] += 1
+                        left.append(k)
+                        right.append(o)
+                if left:
                     yield batch_of(
-                        a=pa.array(np.minimum(fp[found], fp[k])), b=pa.array(np.maximum(fp[found], fp[k]))
+                        a=pa.array(np.minimum(fp[left], fp[right])), b=pa.array(np.maximum(fp[left], fp[right]))
                     )
 
     return map_batches(dealt.select("key", *names), searched, "a long, b long").distinct()

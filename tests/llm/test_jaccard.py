@@ -121,3 +121,30 @@ def test_fingerprints_find_edited_copies_before_the_join(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "candidates", lambda postings, most: none)
     kept = jaccard.keep_one(documents(spark, rows, clashes=False))
     assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 80, 81]
+
+
+def test_pairs_grow_with_the_members_of_a_group(spark):
+    """Five times the sets that share a shingle make about five times the pairs."""
+
+    def pairs_of(members):
+        rows = [(shingle, 100 * shingle + k, 90, 0) for shingle in range(20) for k in range(members)]
+        postings = spark.createDataFrame(rows, "shingle long, fp long, n int, at int")
+        return jaccard.candidates(postings, jaccard.GROUP_MEMBERS).where("b is not null").count()
+
+    assert 0 < pairs_of(60) <= 6 * pairs_of(12)
+
+
+def test_groups_of_tens_of_texts_lose_no_link(spark, monkeypatch):
+    """Near copies among texts that share a passage, most of them far from the group's hubs."""
+    turn = random.Random(13)
+    fresh = lambda n: ["".join(turn.choices("abcdefgh", k=7)) for _ in range(n)]
+    texts = []
+    for members in (5, 9, 20, 45):
+        passage = fresh(30)
+        own = [passage + fresh(8) for _ in range(members)]
+        texts += own + [[*t[:-1], "edited"] for t in own[::3]] + [["first", "second", *t] for t in own[::4]]
+    turn.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
+    kept = jaccard.keep_one(documents(spark, rows, clashes=False))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == kept_of(rows)
