@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from staygrid.operators.spatial import covering, placed, with_level, with_reach
 from staygrid.session import stored
 
-# Active listings that make a cell dense. Below that, measuring pairs costs less than the
+# Different points of active listings that make a cell dense. Below that, measuring pairs costs less than the
 # jobs for summaries.
 DENSE = 16_384
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staygrid.operators.enrich import photo_count, with_room_stats
+from staygrid.operators.enrich import min_rent, photo_count, with_room_stats
 from staygrid.operators.filters import live, rating_display
 from staygrid.operators.paging import newest_first, top_per_group
 from staygrid.plans.search import CARD, listing_cards
@@ -64,7 +64,7 @@ def favorites_list(
     favorites: DataFrame, listings: DataFrame, rooms: DataFrame, photos: DataFrame
 ) -> DataFrame:
     """Every user's favourites on ACTIVE listings, latest first."""
-    cards = listing_cards(live(listings, "active"), rooms, photos)
+    cards = listing_cards(live(listings, "active"), min_rent(rooms), photos)
     mine = favorites.select("user_id", "listing_id", "created_at").join(cards, "listing_id")
     return mine.orderBy("user_id", *newest_first("created_at", "listing_id")).select(
         "user_id", "listing_id", *CARD, "min_rent", "cover_photo",
