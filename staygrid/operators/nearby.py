@@ -12,8 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staygrid.functions.geo import EARTH_RADIUS_M, WGS84_A, WGS84_B, within_sql
-from staygrid.operators.spatial import PAIRS_PER_CELL_TASK, covering, placed, with_level, with_reach
+from staygrid.functions.geo import within_sql
+from staygrid.operators.spatial import (
+    CHORD,
+    PAIRS_PER_CELL_TASK,
+    covering,
+    place_sql,
+    placed,
+    with_chords,
+    with_level,
+    with_reach,
+)
 from staygrid.session import spread, stored
 
 # More different filters than this are not worth counting one by one.
@@ -28,48 +37,6 @@ STEPS = 12
 CELL_KEY = ["_filter", "_level", "_cy", "_cx"]
 
 
-# The least radius of curvature of the ellipsoid, that of a meridian at the equator.
-LEAST_CURVATURE_M = WGS84_B**2 / WGS84_A
-
-
-def place_sql(lat: str, lng: str, metric: str, names: tuple[str, str, str]) -> str:
-    """A point in space, in metres, on the ellipsoid or on the mean sphere."""
-    e2 = 1 - (WGS84_B / WGS84_A) ** 2
-    out = f"({WGS84_A!r}D / sqrt(1 - {e2!r}D * sin(radians({lat})) * sin(radians({lat}))))"
-    up = f"{1 - e2!r}D * {out}"
-    if metric != "spheroid":
-        out = up = f"{EARTH_RADIUS_M!r}D"
-    x, y, z = names
-    return (
-        f"{out} * cos(radians({lat})) * cos(radians({lng})) as {x}, {out} * cos(radians({lat})) * sin(radians({lng})) as {y}, "
-        f"{up} * sin(radians({lat})) as {z}"
-    )
-
-
-CHORD = "((_x - _px) * (_x - _px) + (_y - _py) * (_y - _py) + (_z - _pz) * (_z - _pz))"
-
-
-def with_chords(requests: DataFrame, metric: str) -> DataFrame:
-    """The place of each request, and ``_in`` and ``_out``, squares of chords up to which a
-    point is surely within ``radius_m``, and beyond which it surely is not.
-
-    No chord is longer than its geodesic. None is shorter than that of an arc of the same
-    length that bends as the ellipsoid does where it bends most (Schur's theorem). Between
-    lie 0.1 mm for 5 km and 0.2 m for 60 km, and the slack for rounding: a millimetre and a
-    billionth of the radius.
-    """
-    bend = LEAST_CURVATURE_M if metric == "spheroid" else EARTH_RADIUS_M
-    slack = "(1e-3D + 1e-9D * radius_m)"
-    inner = f"{2 * bend!r}D * sin(least((radius_m - {slack}) / {2 * bend!r}D, pi() / 2))"
-    outer = f"(radius_m + {slack})"
-    if metric != "spheroid":
-        outer = f"if({outer} >= {2 * bend!r}D * pi() / 2, {3 * bend!r}D, {2 * bend!r}D * sin(least({outer} / {2 * bend!r}D, pi() / 2)))"
-    return requests.sparkSession.sql(
-        f"select *, {place_sql('req_lat', 'req_lng', metric, ('_x', '_y', '_z'))}, "
-        f"if(radius_m <= {slack}, -1D, pow({inner}, 2D)) as _in, pow({outer}, 2D) as _out from {{requests}}", requests=requests,
-    )
-
-
 def filters_of(asked: DataFrame, asks: list[str]) -> DataFrame:
     """The different values of the columns ``asks``, numbered in ``_filter``; stored."""
     return stored(asked.select(*asks).distinct().withColumn("_filter", F.monotonically_increasing_id()), "filters")

@@ -8,7 +8,7 @@ from test_properties import points
 from test_summaries import CITY, requests_and_listings
 
 from staygrid.functions.geo import haversine_m, with_geodesic_m
-from staygrid.operators import nearby
+from staygrid.operators import nearby, spatial
 from staygrid.plans import search
 
 
@@ -56,3 +56,39 @@ def test_more_filters_than_counted_one_by_one(spark):
         columns = ["request_id", "position", "listing_id", "distance_m", "total"]
         found.append((sorted(map(tuple, rows.select(columns).collect())), sorted(map(tuple, totals.where("total > 0").collect()))))
     assert found[0][0] and all(f == found[0] for f in found)
+
+
+def test_a_pair_of_points_is_measured_once(spark):
+    """Rows at one point are gathered; each pair of rows is still there, whatever their number."""
+    rng = random.Random(7)
+    requests = points(spark, rng, 12, "request_id", "req_lat", "req_lng", CITY).selectExpr(
+        "explode(sequence(0, 3)) as k", "*").selectExpr("request_id + 12 * k as request_id", "req_lat", "req_lng", "if(request_id = 3, 5000000D, 20000D) as radius_m")
+    listings = points(spark, rng, 15, "listing_id", "lat", "lng", CITY).selectExpr(
+        "explode(sequence(0, 9)) as k", "*").selectExpr("listing_id + 15 * k as listing_id", "lat", "lng")
+    few = spatial.gathered(listings, ["lat", "lng"], "listing_id", "offers", 4)
+    assert few.agg(F.sum(F.size("offers"))).first()[0] == 150 and few.count() > 15
+    assert spatial.gathered(listings, ["lat", "lng"], "listing_id", "offers").count() == listings.select("lat", "lng").distinct().count() <= 15
+    got = spatial.radius_join(requests, listings)
+    assert got.columns == ["request_id", "req_lat", "req_lng", "radius_m", "listing_id", "lat", "lng", "distance_m"]
+    want = spatial.radius_join(requests, listings, "true or lat is null")
+    rows = sorted((r.request_id, r.listing_id, round(r.distance_m, 5)) for r in got.collect())
+    assert rows == sorted((r.request_id, r.listing_id, round(r.distance_m, 5)) for r in want.collect())
+    assert len(rows) > 400
+
+
+def test_the_radius_of_a_page_is_small_and_holds_it(spark):
+    """A page of 20 among thousands of matches: few of them are near enough to be measured."""
+    rng = random.Random(8)
+    requests, listings, rooms = requests_and_listings(spark, 8, 20_000, CITY, [15.0])
+    requests = requests.selectExpr("* except(page, size, min_rent, max_rent, food)", "1 as page", "20 as size", "null as food",
+                                   "cast(null as int) as min_rent", "cast(null as int) as max_rent")
+    parts = search.Summaries(search.asked_of(requests), listings, rooms, "spheroid", 10**6)
+    counts = parts.plain.join(parts.plain_counts(nearby.STEPS), "request_id").withColumn("_need", F.lit(40))
+    held = nearby.radius_holding(counts, "_need").withColumn("_near", F.expr("coalesce(_holds, radius_m)"))
+    found = search.search_matches(requests, listings, rooms).select("request_id", "distance_m").join(held.select("request_id", "_near", "_found"), "request_id")
+    sizes = found.where("distance_m <= _near").groupBy("request_id", "_found").count().collect()
+    assert len(sizes) == 40 and all(40 <= r["count"] <= 160 and r._found > 400 for r in sizes)
+    asked = counts.withColumn("_total", F.col("_found")).select("request_id", "_filter", *search.CIRCLE, "_need", "_total")
+    again = nearby.page_radius(asked, parts.sites, "spheroid")
+    sizes = found.drop("_near").join(again, "request_id").where("distance_m <= _near").groupBy("request_id").count().collect()
+    assert len(sizes) == 40 and all(40 <= r["count"] <= 160 for r in sizes)
