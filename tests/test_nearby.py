@@ -9,6 +9,7 @@ from test_summaries import CITY, requests_and_listings
 
 from staygrid.functions.geo import haversine_m, with_geodesic_m
 from staygrid.operators import nearby, spatial
+from staygrid.operators.paging import page_per_request
 from staygrid.plans import search
 
 
@@ -92,3 +93,14 @@ def test_the_radius_of_a_page_is_small_and_holds_it(spark):
     again = nearby.page_radius(asked, parts.sites, "spheroid")
     sizes = found.drop("_near").join(again, "request_id").where("distance_m <= _near").groupBy("request_id").count().collect()
     assert len(sizes) == 40 and all(40 <= r["count"] <= 160 for r in sizes)
+
+
+@pytest.mark.parametrize("metric", ["spheroid", "sphere"])
+def test_the_page_is_that_of_all_matches(spark, metric):
+    """The page among the pairs within its radius is that among all matches, by either distance."""
+    requests, listings, rooms = requests_and_listings(spark, 9, 4_000, CITY, [20.0])
+    requests = requests.selectExpr("* except(page, size)", "0 as page", "5 as size")
+    want = page_per_request(search.search_matches(requests, listings, rooms, metric), requests.select("request_id", "user_id", "page", "size"))
+    parts = search.Summaries(search.asked_of(requests), listings, rooms, metric, 10**6)
+    rows, _ = parts.pages()
+    assert sorted(map(tuple, rows.select(search.PAGE_ROW).collect())) == sorted(map(tuple, want.select(search.PAGE_ROW).collect()))
