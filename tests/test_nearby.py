@@ -104,3 +104,10 @@ def test_the_page_is_that_of_all_matches(spark, metric):
     parts = search.Summaries(search.asked_of(requests), listings, rooms, metric, 10**6)
     rows, _ = parts.pages()
     assert sorted(map(tuple, rows.select(search.PAGE_ROW).collect())) == sorted(map(tuple, want.select(search.PAGE_ROW).collect()))
+
+
+def test_dense_cells_have_many_points(spark):
+    """Listings at one point are one row of the counts, so they do not make a cell dense."""
+    requests, listings, rooms = requests_and_listings(spark, 10, 300, CITY, [3.0])
+    together = listings.withColumns({"lat": F.lit(12.95), "lng": F.lit(77.65)})
+    assert search.Summaries(search.asked_of(requests), together, rooms, "spheroid", 64).heavy is None
