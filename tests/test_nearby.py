@@ -111,3 +111,11 @@ def test_dense_cells_have_many_points(spark):
     requests, listings, rooms = requests_and_listings(spark, 10, 300, CITY, [3.0])
     together = listings.withColumns({"lat": F.lit(12.95), "lng": F.lit(77.65)})
     assert search.Summaries(search.asked_of(requests), together, rooms, "spheroid", 64).heavy is None
+
+
+def test_near_pages_need_no_roll_up_by_rent(spark):
+    requests, listings, rooms = requests_and_listings(spark, 11, 300, CITY, [10.0])
+    requests = requests.selectExpr("* except(page, size)", "1 as page", "5 as size")
+    parts = search.Summaries(search.asked_of(requests), listings, rooms, "spheroid", 8)
+    rows, _ = parts.pages()
+    assert parts.heavy is not None and parts._rolled is None and rows.count() > 0
